@@ -5,9 +5,24 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lumenrank.llm import mixing, packing, rans
-from lumenrank.llm.common import table
+from lumenrank.llm import license, media, mixing, packing, quality, rans, unigram
+from lumenrank.llm.common import materialise, table
+
+
+def op1_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Store each text as a WAVE, read the stored bytes back, digest them and the features computed from them."""
+    stored = materialise(media.media_table(table(spark, sf_dir, "documents")), "media")
+    digest = F.concat_ws(":", F.lit("logmel"), "n_frames", F.size("segments"), F.lower(F.hex(F.xxhash64("segments"))))
+    return media.audio_features(stored).select(
+        "doc_id", "n_bytes", F.length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -32, 32)).alias("tail_crc32"), F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), digest.alias("feature"),
+    )
+
+
+def op2_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,20 +31,30 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans.read_token_files(spark, manifest).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license.scan(table(spark, sf_dir, "documents")).drop("blocks")
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), end_id=0, capacity=2048)
 
 
+def op9_unigram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unigram.count_tokens(table(spark, sf_dir, "documents"))
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(table(spark, sf_dir, "documents"))
     return mixed.selectExpr("doc_id", "size", "source_size", "round(target, 6) AS target", "taken")
 
 
+REGISTERED = (op1_audio_features, op2_quality_discriminant, op5_token_files, op6_license_scan, op7_best_fit_packing, op9_unigram_counts, op10_mix_sources)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_token_files, op7_best_fit_packing, op10_mix_sources)}
+    return {f.__name__: f for f in REGISTERED}
 
 
-#: Shared by several texts: words of a contract, and the hash key of a mix.
 OP10 = r"""
 WITH sized AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
@@ -58,5 +83,34 @@ FROM placed
 """
 
 
+def _op6() -> str:
+    """Every block against every template, with no filter."""
+    places = [f"list_filter(range(0, len(w) - {len(p.split()) - 1}), lambda i: " + " AND ".join(f"w[i + {k + 1}] = '{x}'" for k, x in enumerate(p.split())) + ")" for p, _ in license.PHRASES]
+    base = ", ".join(f"CASE WHEN len(p{k}) > 0 THEN '{label}' END" for k, (_, label) in enumerate(license.PHRASES))
+    templates = ", ".join(f"('{label}', {sorted(set(t.split()))})" for label, t in license.TEMPLATES)
+    words = r"regexp_extract_all(translate({}, '%s', '%s'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')" % (license.UPPER, license.LOWER)
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+words AS (SELECT r, doc_id, text, {words.format("text")} AS w FROM d),
+base AS (SELECT *, {", ".join(f"{p} AS p{k}" for k, p in enumerate(places))} FROM words),
+lines AS (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d),
+lw AS (SELECT r, {words.format("line")} AS w FROM lines),
+starts AS (SELECT r, w, unnest(range(0, greatest(len(w) - {license.STEP}, 1), {license.STEP})) AS first FROM lw),
+blocks AS (SELECT r, list_distinct(w[first + 1 : first + {license.BLOCK}]) AS b FROM starts),
+templates AS (SELECT * FROM (VALUES {templates}) AS t(label, words)),
+met AS (
+  SELECT r, label, len(list_intersect(b, words)) AS o, len(words) AS n FROM blocks, templates
+  WHERE 100 * len(list_intersect(b, words)) >= {license.CONTAINMENT_PERCENT} * len(words)),
+found AS (SELECT r, list(DISTINCT label) AS labels, max(round(o / n, 6)) AS containment FROM met GROUP BY r),
+named AS (SELECT *, list_filter([{base}], lambda x: x IS NOT NULL) AS base, list_concat(list_concat(p0, p1), p2) AS places FROM base)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(places) AS BIGINT) AS n_base,
+       CAST(list_min(places) AS BIGINT) AS first_word, CAST(list_max(places) AS BIGINT) AS last_word,
+       array_to_string(list_sort(list_distinct(base)), ',') AS base_labels,
+       array_to_string(list_sort(list_distinct(list_concat(base, coalesce(labels, [])))), ',') AS labels,
+       greatest(CASE WHEN len(places) > 0 THEN 1.0 ELSE 0.0 END, coalesce(containment, 0.0))::DOUBLE AS score
+FROM named LEFT JOIN found USING (r)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op10_mix_sources": OP10}
+    return {"op6_license_scan": _op6(), "op10_mix_sources": OP10}

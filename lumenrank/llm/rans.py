@@ -179,7 +179,7 @@ class TokenFile:
                 held_at += len(got)
                 need -= len(got)
                 pieces.append(got)
-            yield (doc_id if known else None), begin, (np.concatenate(pieces) if len(pieces) != 1 else pieces[0])
+            yield (doc_id if known else None), begin, (pieces[0] if len(pieces) == 1 else np.concatenate([held[:0], *pieces]))
             begin += n
 
 
