@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenrank.llm import license, media, mixing, packing, quality, rans, unigram
+from lumenrank.llm import ann, license, linededup, media, mixing, ngram, packing, quality, rans, unigram
 from lumenrank.llm.common import materialise, table
 
 
@@ -25,6 +25,15 @@ def op2_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram.jaccard_components(table(spark, sf_dir, "documents"), words=3, percent=90)
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = linededup.dedup_lines(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "removed_lines", "removed_chunks", F.length("text").cast("long").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode ``documents`` into rANS files, read them back, report what the files hold."""
     manifest = rans.write_token_files(table(spark, sf_dir, "documents"), rans.token_folder(spark), end_id=2)
@@ -39,6 +48,10 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), end_id=0, capacity=2048)
 
 
+def op8_anisotropic_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op9_unigram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unigram.count_tokens(table(spark, sf_dir, "documents"))
 
@@ -48,7 +61,10 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.selectExpr("doc_id", "size", "source_size", "round(target, 6) AS target", "taken")
 
 
-REGISTERED = (op1_audio_features, op2_quality_discriminant, op5_token_files, op6_license_scan, op7_best_fit_packing, op9_unigram_counts, op10_mix_sources)
+REGISTERED = (
+    op1_audio_features, op2_quality_discriminant, op3_ngram_jaccard, op4_line_dedup, op5_token_files,
+    op6_license_scan, op7_best_fit_packing, op8_anisotropic_search, op9_unigram_counts, op10_mix_sources,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -83,6 +99,24 @@ FROM placed
 """
 
 
+def _op3(words: int = 3, percent: int = 90) -> str:
+    """All pairs that share a shingle, counted, then reachability."""
+    fold = rf"regexp_extract_all(translate(text, '{license.UPPER}', '{license.LOWER}'), '[^\x20\x09-\x0D]+')"
+    return f"""
+WITH RECURSIVE w AS (SELECT row_number() OVER () AS r, doc_id, coalesce({fold}, []) AS w FROM documents),
+sets AS (
+  SELECT r, doc_id, list_distinct(CASE WHEN len(w) >= {words} THEN list_transform(range(1, len(w) - {words - 2}), lambda i: array_to_string(w[i : i + {words - 1}], ' '))
+                                       WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM w),
+tokens AS (SELECT r, len(s) AS n, unnest(s) AS t FROM sets),
+links AS (
+  SELECT x.r AS a, y.r AS b FROM tokens x JOIN tokens y ON x.t = y.t AND x.r <> y.r
+  GROUP BY x.r, y.r, x.n, y.n HAVING 100 * count(*) >= {percent} * (x.n + y.n - count(*))),
+reach(a, b) AS (SELECT r, r FROM sets UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, c.component_id
+FROM sets s JOIN (SELECT a, min(d.doc_id) AS component_id FROM reach JOIN sets d ON d.r = reach.b GROUP BY a) c ON c.a = s.r
+"""
+
+
 def _op6() -> str:
     """Every block against every template, with no filter."""
     places = [f"list_filter(range(0, len(w) - {len(p.split()) - 1}), lambda i: " + " AND ".join(f"w[i + {k + 1}] = '{x}'" for k, x in enumerate(p.split())) + ")" for p, _ in license.PHRASES]
@@ -113,4 +147,4 @@ FROM named LEFT JOIN found USING (r)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_license_scan": _op6(), "op10_mix_sources": OP10}
+    return {"op3_ngram_jaccard": _op3(), "op6_license_scan": _op6(), "op10_mix_sources": OP10}
