@@ -32,12 +32,15 @@ def _discounts(first: Column, last: Column) -> Column:
     return F.when(last >= first, each).otherwise(0.0)
 
 
-def ranked_metrics(df: DataFrame, by: Sequence[str], score: str, label: str, key: str, percents: Sequence[int] = (10, 25)) -> DataFrame:
-    """by, n, n_positive and the ten metrics of each group. Rows without score or label do not count."""
+def ranked_metrics(df: DataFrame, by: Sequence[str], score: str, label: str, key: str, percents: Sequence[int] = (10, 25), spread: bool = True) -> DataFrame:
+    """by, n, n_positive and the ten metrics of each group. Rows without score or label do not count.
+
+    ``spread`` False: every group is small, such as a fold or a bootstrap replicate.
+    """
     by = list(by)
     rows = df.filter(F.col(score).isNotNull() & F.col(label).isNotNull()).select(*by, F.col(score).cast("double").alias("_s"), F.col(label).cast("long").alias("_y"), F.col(key).alias("_k"))
     agg = rows.groupBy(*by, "_s").agg(F.count("*").alias("_n"), F.sum("_y").alias("_p"))
-    cum = prefix_sums(agg, "_s", {"_nb": "_n", "_pb": "_p"}, by=by, descending=True)
+    cum = prefix_sums(agg, "_s", {"_nb": "_n", "_pb": "_p"}, by=by, descending=True, spread=spread)
     totals = (agg.groupBy(*by) if by else agg.groupBy()).agg(F.sum("_n").alias("_all_n"), F.sum("_p").alias("_all_p")).withColumnsRenamed({c: f"_r_{c}" for c in by})
     cum = cum.join(totals, _same(by)).drop(*[f"_r_{c}" for c in by])
     n, p = F.col("_n"), F.col("_p")

@@ -10,6 +10,7 @@ from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lumenrank.functions.scalar import hash_unit, logit
 
@@ -133,5 +134,5 @@ def dense_scores(df: DataFrame, features: Sequence[str], layers: Sequence[tuple]
             many = np.stack([forward(x, np.random.default_rng(seed + i)) for i in range(passes)]) if passes else np.full((1, len(b)), np.nan)
             yield b.assign(score=forward(x), mc_score=many.mean(0), uncertainty_std=many.std(0))
 
-    schema = df.schema.add("score", "double").add("mc_score", "double").add("uncertainty_std", "double")
+    schema = T.StructType([*df.schema.fields, *(T.StructField(c, T.DoubleType()) for c in ("score", "mc_score", "uncertainty_std"))])
     return df.mapInPandas(run, schema)

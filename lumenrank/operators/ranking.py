@@ -21,8 +21,14 @@ def _bucketed(df: DataFrame, value: str, descending: bool) -> DataFrame:
     return df.withColumn("_bucket", -below if descending else below)
 
 
-def prefix_sums(df: DataFrame, value: str, sums: Mapping[str, str], *, by: Sequence[str] = (), descending: bool = False, ties: Sequence[Column] = ()) -> DataFrame:
-    """Add, per output name, the sum of a column over the rows before each row, by ``value`` and ``ties``, within ``by``."""
+def prefix_sums(df: DataFrame, value: str, sums: Mapping[str, str], *, by: Sequence[str] = (), descending: bool = False, ties: Sequence[Column] = (), spread: bool = True) -> DataFrame:
+    """Add, per output name, the sum of a column over the rows before each row, by ``value`` and ``ties``, within ``by``.
+
+    ``spread`` False is for groups that are known to be small: one window each.
+    """
+    if not spread and by:
+        line = Window.partitionBy(*by).orderBy(F.col(value).desc() if descending else F.col(value).asc(), *ties).rowsBetween(Window.unboundedPreceding, -1)
+        return df.select("*", *[F.coalesce(F.sum(c).over(line), F.lit(0)).alias(o) for o, c in sums.items()])
     b = _bucketed(df, value, descending)
     order = [F.col(value).desc() if descending else F.col(value).asc(), *ties]
     inside = Window.partitionBy(*by, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)

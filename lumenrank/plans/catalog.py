@@ -685,7 +685,7 @@ _ISSR = "SELECT b, avg(CASE WHEN rn <= k THEN label END) AS issr, avg(label) AS
 
 def _boot(spark, sf_dir):
     r = stats.resampled(labelled(spark, sf_dir).drop("source"), "doc_id", 20).withColumnRenamed("_slot", "slot")
-    m = metrics.ranked_metrics(r, ["b"], "score", "label", "slot")
+    m = metrics.ranked_metrics(r, ["b"], "score", "label", "slot", spread=False)
     return m.select("b", F.col("issr_10").alias("issr"), (F.col("n_positive") / F.col("n")).alias("rate"))
 
 

@@ -74,12 +74,15 @@ def positional(spark: SparkSession, path: str, columns: dict[int, str], skip: in
     return raw.select(F.from_csv("value", kind, {"sep": sep}).alias("r")).select(*[F.col(f"r._c{i}").alias(n) for i, n in columns.items()])
 
 
-def sniff(spark: SparkSession, path: str) -> tuple[str, bool]:
-    """('tcell_assay' or 'epitope_table', has a second header line) from the first lines."""
-    lines = [line.lower() for line in head_lines(spark, path, 2)]
-    if any("assay" in line and "qualitative" in line for line in lines):
-        return "tcell_assay", True
-    return "epitope_table", len(lines) > 1 and "name" in lines[1] and "epitope" in lines[0]
+def sniff(spark: SparkSession, path: str) -> tuple[str, int]:
+    """Kind of an export and its number of header lines, from the first three lines of text.
+
+    A line that names a qualitative measure makes it a 'tcell_assay', whose header ends there; else it is an 'epitope_table'.
+    """
+    for i, line in enumerate(head_lines(spark, path, 3)):
+        if "qualitative" in line.lower():
+            return "tcell_assay", i + 1
+    return "epitope_table", 1
 
 
 def folder(spark: SparkSession, path: str, pattern: str, header: bool = True) -> DataFrame:
