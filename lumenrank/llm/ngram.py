@@ -1,7 +1,7 @@
 """Exact n-gram Jaccard join with adaptive multi-match prefixes, up to connected components.
 
-Sets of word shingles (as 64-bit hashes) are ordered by one global order: tokens that are rare in the
-corpus by their hash, then the frequent ones by their exact count. With ``need = ceil(t * n)`` tokens
+Sets of word shingles (as 64-bit hashes) are ordered by one global order: tokens that occur once in the
+corpus by their hash, then the others, the frequent ones by their exact count. With ``need = ceil(t * n)`` tokens
 that any partner must share, two linked sets share at least ``l`` tokens of their first
 ``n - need + l`` ones. Each document takes the ``l`` with the least estimated cost: every further
 prefix token is one more posting, but a candidate must then share ``l`` of them. A pair is a candidate
@@ -22,6 +22,7 @@ them; an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -32,11 +33,12 @@ from pyspark.sql import functions as F
 from lumenrank.llm import wordhash
 from lumenrank.llm.common import materialise, release
 
-BUCKET_BITS, SLICE_BITS = 26, 6  # token counts are kept per bucket of hash space, summed per slice of it
+BUCKET_BITS, SLICE_BITS = 30, 8  # token counts are kept per bucket of hash space, summed per slice of it
+MAP_BITS = 27  # of hash space, that tell in a map of 16 MB whether a token occurs again
 HEAVY, MOST_HEAVY = 8, 1 << 19  # counts from which a bucket is frequent, and how many frequent ones are sent out
 DIRECT = 256  # postings of tokens this frequent need no look for a partner
-MOST_MATCHES = 16  # the largest l
-PAIR_COST = 0.5  # of a candidate pair, in postings
+MOST_MATCHES = 32  # the largest l
+PAIR_COST = 20  # of a candidate pair, in postings
 BLOCK_TOKENS = 1 << 16  # tokens of the sets that are joined in one block
 _U = np.uint64
 
@@ -124,33 +126,73 @@ def _count_pass(docs: DataFrame, words: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(compute, COUNTED)
 
 
-def _frequent(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets (ascending) and counts of the most frequent tokens of the whole corpus, a bounded number."""
+@dataclass(frozen=True)
+class TokenCounts:
+    """What is sent to all tasks about the corpus's tokens; its size does not grow with the corpus.
+
+    ``again``: a bit per range of hash space in which a token occurs more than once. ``bucket`` (ascending)
+    and ``count``: the most frequent tokens. Both only order tokens, so what they leave out costs time, not results.
+    """
+
+    again: np.ndarray
+    bucket: np.ndarray
+    count: np.ndarray
+
+    def of(self, values: np.ndarray) -> np.ndarray:
+        """0 for tokens that occur once, the count of frequent ones, 2 for the rest."""
+        at = values >> _U(64 - MAP_BITS)
+        out = np.zeros(len(values), np.int64)
+        hit = np.flatnonzero(self.again[(at >> _U(3)).astype(np.int64)] >> (at & _U(7)).astype(np.uint8) & 1)
+        out[hit] = 2
+        if len(self.bucket):
+            where = (values[hit] >> _U(64 - BUCKET_BITS)).astype(np.uint32)
+            k = np.minimum(np.searchsorted(self.bucket, where), len(self.bucket) - 1)
+            same = self.bucket[k] == where
+            out[hit[same]] = self.count[k[same]]
+        return out
+
+
+def _token_counts(counted: DataFrame) -> TokenCounts:
+    """Counts of the whole corpus's tokens, added up slice by slice of hash space."""
+    width = BUCKET_BITS - SLICE_BITS
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slice_, total = None, None
-        first_bucket = 0
 
         def out() -> pa.RecordBatch:
+            again = (total >= 2).reshape(-1, 1 << (BUCKET_BITS - MAP_BITS)).any(axis=1)
             at = np.flatnonzero(total >= HEAVY)
-            return pa.RecordBatch.from_arrays([pa.array(at + first_bucket, pa.int64()), pa.array(total[at].astype(np.int64))], ["bucket", "n"])
+            row = [[slice_], [np.packbits(again, bitorder="little").tobytes()], [(at + (slice_ << width)).astype("<u4").tobytes()], [total[at].astype("<u4").tobytes()]]
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["slice", "again", "bucket", "count"])
 
         for batch in batches:
             for s, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
                 if s != slice_:
                     if slice_ is not None:
                         yield out()
-                    slice_, total, first_bucket = s, np.zeros(1 << (BUCKET_BITS - SLICE_BITS), np.int64), s << (BUCKET_BITS - SLICE_BITS)
+                    slice_, total = s, np.zeros(1 << width, np.uint32)
                 x = np.frombuffer(_unpack(blob.as_buffer().to_pybytes()), "<u4")
-                total[np.cumsum(x[: len(x) // 2].astype(np.int64)) - first_bucket] += x[len(x) // 2 :]
+                total[np.cumsum(x[: len(x) // 2].astype(np.int64)) - (s << width)] += x[len(x) // 2 :]
         if slice_ is not None:
             yield out()
 
     blobs = counted.filter("slice IS NOT NULL").select("slice", "blob").repartition("slice").sortWithinPartitions("slice")
-    top = blobs.mapInArrow(add, "bucket long, n long").orderBy(F.desc("n"), "bucket").limit(MOST_HEAVY).toArrow()
+    summed = materialise(blobs.mapInArrow(add, "slice int, again binary, bucket binary, count binary"), "ngram-tokens")
+    again = np.zeros(1 << MAP_BITS >> 3, np.uint8)
+    piece = len(again) >> SLICE_BITS
+    for r in summed.select("slice", "again").toLocalIterator():
+        again[r.slice * piece : (r.slice + 1) * piece] = np.frombuffer(r["again"], np.uint8)
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b, n in zip(batch.column(0), batch.column(1)):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x.as_buffer(), "<u4").astype(np.int64)) for x in (b, n)], ["bucket", "n"])
+
+    top = summed.select("bucket", "count").mapInArrow(unpack, "bucket long, n long").orderBy(F.desc("n"), "bucket").limit(MOST_HEAVY).toArrow()
+    release(summed)
     bucket, n = top["bucket"].to_numpy().astype(np.uint32), top["n"].to_numpy()
     order = np.argsort(bucket)
-    return bucket[order], n[order]
+    return TokenCounts(again, bucket[order], n[order])
 
 
 def choose_prefix(values: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
@@ -175,15 +217,13 @@ POSTINGS = "token long, a long, b long, n int, l int"
 _POSTING = np.dtype([("token", "<u8"), ("a", "<i8"), ("b", "<i8"), ("n", "<i4"), ("l", "<i4")])
 
 
-def _shared_postings(docs: DataFrame, words: int, percent: int, bucket: np.ndarray, count: np.ndarray, slices: int) -> DataFrame:
+def _shared_postings(docs: DataFrame, words: int, percent: int, tokens_of: TokenCounts, slices: int) -> DataFrame:
     """The prefix postings (of classes, not documents) of tokens that two classes have."""
     spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast((bucket, count))
+    sent = spark.sparkContext.broadcast(tokens_of)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, count = sent.value
-        frequent = np.zeros(1 << BUCKET_BITS >> 3, np.uint8)
-        np.bitwise_or.at(frequent, bucket >> 3, (1 << (bucket & 7)).astype(np.uint8))
+        known = sent.value
         seen: set[tuple[int, int]] = set()
         held: list[np.ndarray] = []
         size = salt = 0
@@ -192,9 +232,7 @@ def _shared_postings(docs: DataFrame, words: int, percent: int, bucket: np.ndarr
             nonlocal held, size, salt
             p = np.concatenate(held)
             held, size = [], 0
-            at = np.searchsorted(bucket, (p["token"] >> _U(64 - BUCKET_BITS)).astype(np.uint32))
-            b = np.minimum(at, max(len(bucket) - 1, 0))
-            direct = (count[b] >= DIRECT) & (bucket[b] == p["token"] >> _U(64 - BUCKET_BITS)) if len(bucket) else np.zeros(len(p), bool)
+            direct = known.of(np.ascontiguousarray(p["token"])) >= DIRECT
             keys, blobs = [], []
             rest = p[~direct]
             where = (rest["token"] % _U(slices)).astype(np.int64)
@@ -214,10 +252,7 @@ def _shared_postings(docs: DataFrame, words: int, percent: int, bucket: np.ndarr
             for _, data, offsets in wordhash.blocks(batch.column(0)):
                 values, cuts = shingle_sets(data, offsets, words)
                 a, b = _digests(values, cuts)
-                where = (values >> _U(64 - BUCKET_BITS)).astype(np.uint32)
-                counts = np.zeros(len(values), np.int64)
-                hit = np.flatnonzero(frequent[where >> 3] >> (where & 7).astype(np.uint8) & 1)
-                counts[hit] = count[np.searchsorted(bucket, where[hit])]
+                counts = known.of(values)
                 for d, (i, j) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())):
                     key = (int(a[d]), int(b[d]))
                     if i == j or key in seen:
@@ -269,6 +304,13 @@ def _shared_postings(docs: DataFrame, words: int, percent: int, bucket: np.ndarr
     return dealt.mapInArrow(pair_up, POSTINGS).select("token", _class(), "n", "l").distinct()
 
 
+def _possible(postings: DataFrame) -> DataFrame:
+    """Postings of classes that share as many tokens as the least demanding class they meet asks for."""
+    asked = postings.groupBy("token").agg(F.min("l").alias("asked"), F.count("*").alias("met")).filter("met > 1")
+    enough = postings.join(asked, "token").groupBy("c").agg(F.count("*").alias("shared"), F.min("asked").alias("asked")).filter("shared >= asked").select("c")
+    return postings.join(enough, "c", "left_semi")
+
+
 def _class(a: str = "a", b: str = "b") -> Column:
     return F.struct(F.col(a).alias("a"), F.col(b).alias("b")).alias("c")
 
@@ -442,11 +484,12 @@ def jaccard_components(docs: DataFrame, *, words: int = 5, percent: int = 80, po
     """
     counted = materialise(_count_pass(docs, words), "ngram-counts")
     rows = counted.filter("slice IS NULL").select("doc_id", "n", F.when(F.col("n") > 0, _class()).alias("c"))
-    bucket, count = _frequent(counted)
+    tokens_of = _token_counts(counted)
     classes = rows.filter("c IS NOT NULL").groupBy("c").agg(F.min("doc_id").alias("low"), F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("k"))
     expected = rows.agg(F.sum(F.col("n") * (100 - percent) / 100 + 2)).first()[0] or 0
     slices = max(1, int(expected) // postings_per_slice)
-    postings = materialise(_shared_postings(docs, words, percent, bucket, count, slices), "ngram-postings")
+    postings = materialise(_shared_postings(docs, words, percent, tokens_of, slices), "ngram-postings")
+    postings = materialise(_possible(postings), "ngram-possible")
     wanted = classes.join(postings.select("c").distinct(), "c").select("k", "c")
     sets = materialise(_whole_sets(docs, wanted, words), "ngram-sets")
     mapping = _merge(postings, sets, percent)
