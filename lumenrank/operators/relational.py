@@ -26,15 +26,21 @@ def holdout_split(df: DataFrame, held: DataFrame, on: str) -> tuple[DataFrame, D
     return df.join(keys, on, "left_anti"), df.join(keys, on, "left_semi")
 
 
-def contained_in_any(df: DataFrame, text: str, others: DataFrame, other: str) -> DataFrame:
+def contained_in_any(df: DataFrame, text: str, others: DataFrame, other: str, *, key: str | None = None, most_bytes: int = 64 << 20) -> DataFrame:
     """Rows whose text contains, or is contained in, a text of ``others``.
 
-    The planner turns this into a nested loop that stops at the first match and broadcasts ``others``
-    only where its statistics are below the session's threshold; beyond it ``seeded_containment``
-    needs no broadcast.
+    Up to ``most_bytes`` of other texts, which are measured, it is a nested loop that stops at the first
+    match. Beyond that both directions go through ``seeded_containment``, by ``key`` (or the text itself),
+    and nothing is broadcast.
     """
     o = others.select(F.col(other).alias("_o")).distinct()
-    return df.join(o, F.col(text).contains(F.col("_o")) | F.col("_o").contains(F.col(text)), "left_semi")
+    if (o.agg(F.sum(F.octet_length("_o"))).first()[0] or 0) <= most_bytes:
+        return df.join(o, F.col(text).contains(F.col("_o")) | F.col("_o").contains(F.col(text)), "left_semi")
+    named = o.withColumn("_i", F.col("_o"))
+    texts = df.select(F.col(key or text).alias("_k"), F.col(text).alias("_t")).distinct()
+    inside = seeded_containment(texts, "_k", "_t", named, "_i", "_o").select("_k")
+    around = seeded_containment(named, "_i", "_o", texts, "_k", "_t").select("_k")
+    return df.join(inside.union(around).distinct(), F.col(key or text) == F.col("_k"), "left_semi")
 
 
 def seeded_containment(df: DataFrame, key: str, text: str, needles: DataFrame, needle_key: str, needle: str, seed: int = 16) -> DataFrame:

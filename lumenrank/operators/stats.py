@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenrank.functions.scalar import hash_unit
+from lumenrank.operators.relational import contained_in_any
 
 
 def resampled(df: DataFrame, key: str, replicates: int, seed: int = 42) -> DataFrame:
@@ -62,7 +63,7 @@ def overlap(evaluated: DataFrame, key: str, trained: DataFrame, train_key: str,
     t = trained.select(F.upper(train_key).alias("o")).distinct()
     exact = e.join(t, F.col("k") == F.col("o"), "left_semi").withColumn("kind", F.lit("exact"))
     rest = e.join(t, F.col("k") == F.col("o"), "left_anti")
-    part = rest.join(t, F.col("k").contains(F.col("o")) | F.col("o").contains(F.col("k")), "left_semi").withColumn("kind", F.lit("substring"))
+    part = contained_in_any(rest, "k", t, "o").withColumn("kind", F.lit("substring"))
     n = e.agg(F.count("*").alias("n_eval"))
     got = exact.union(part).agg(F.count_if(F.col("kind") == "exact").alias("n_exact"), F.count_if(F.col("kind") == "substring").alias("n_substring"))
     pct = F.when(F.col("n_eval") > 0, (F.col("n_exact") + F.col("n_substring")) * 100.0 / F.col("n_eval")).otherwise(0.0)

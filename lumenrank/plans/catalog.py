@@ -180,7 +180,7 @@ def left_join_suffix(spark, sf_dir):
 
 @query("SELECT doc_id, lang FROM documents d WHERE EXISTS (SELECT 1 FROM benchmark b WHERE contains(d.text, b.text) OR contains(b.text, d.text))")
 def containment_semi_join(spark, sf_dir):
-    return relational.contained_in_any(t(spark, sf_dir, "documents").select("doc_id", "lang", "text"), "text", t(spark, sf_dir, "benchmark"), "text").select("doc_id", "lang")
+    return relational.contained_in_any(t(spark, sf_dir, "documents").select("doc_id", "lang", "text"), "text", t(spark, sf_dir, "benchmark"), "text", key="doc_id").select("doc_id", "lang")
 
 
 @query("SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")

@@ -190,6 +190,9 @@ def test_containment_by_seeds_equals_the_nested_loop(spark):
     d, n = spark.createDataFrame(texts, "k long, t string"), spark.createDataFrame(needles, "i long, needle string")
     got = {tuple(r) for r in relational.seeded_containment(d, "k", "t", n, "i", "needle", seed=6).collect()}
     assert got == {(k, i) for k, t in texts for i, s in needles if s in t}
+    want = {k for k, t in texts if any(s in t or t in s for _, s in needles)}
+    for most in (1 << 20, 0):  # the nested loop, and the hash form
+        assert {r.k for r in relational.contained_in_any(d, "t", n, "needle", key="k", most_bytes=most).collect()} == want
 
 
 def test_row_arg_max_prefers_the_first_column_and_skips_nan(spark):
