@@ -9,9 +9,9 @@ if it shares ``min(l, l')`` prefix tokens; candidates are verified on their whol
 
 No step emits all pairs of a group. Equal sets are one class. Classes that share a prefix token are
 first joined inside blocks of bounded size (one product of incidence matrices a block); what the
-blocks have joined counts as one from then on, and only pairs of different joined groups, with the
-count condition over all their members, are verified against each other. So a group of near copies
-costs its blocks, and every link between different sets is still found.
+blocks have joined counts as one from then on. Then blocks meet as wholes: two blocks whose classes share
+enough prefix tokens, the count taken over all their members, are verified against each other. So a
+group of near copies costs its blocks, and every link between different sets is still found.
 
 Defined results: a null or empty text, or one of white space only, has an empty set and is linked
 with nothing; fewer words than a shingle make one shingle; repeated rows and ids are rows each, and a
@@ -428,11 +428,15 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     return e.select("u", F.col("v").alias("root"))
 
 
-def _merge(postings: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(c, m): classes joined inside blocks, in rounds while a token's group fills more than one block."""
-    mapping: DataFrame | None = None
+def _merge(postings: DataFrame, sets: DataFrame, percent: int, rounds: int = 2) -> tuple[DataFrame, DataFrame]:
+    """((c, m): classes joined inside blocks, (c, u): each class's block of the first round).
+
+    A class's home is its token with the largest group. A second round joins, by one class each, what the
+    blocks of a large group have joined.
+    """
+    mapping = units = None
     current = postings
-    for _ in range(4):
+    for _ in range(rounds):
         groups = current.groupBy("token").agg(F.count("*").alias("size"), F.sum("n").alias("tokens")).filter("size > 1")
         home = current.join(groups, "token").groupBy("c").agg(F.max(F.struct("size", "token", "tokens")).alias("h"))
         salts = F.ceil(F.col("h.tokens") / F.lit(BLOCK_TOKENS))
@@ -440,40 +444,50 @@ def _merge(postings: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         members = materialise(members, "ngram-members")
         step = materialise(_join_blocks(members.join(sets, "c"), percent).filter("c != m"), "ngram-merged")
         if mapping is None:
-            mapping = step
+            mapping, units = step, members.select("c", F.struct("home", "salt").alias("u"))
         else:
             after = step.select(F.col("c").alias("m"), F.col("m").alias("m2"))
             mapping = materialise(mapping.join(after, "m", "left").select("c", F.coalesce("m2", "m").alias("m")).unionByName(step), "ngram-mapping")
         if not members.filter("salts > 1").limit(1).count():
             break
         current = current.join(step.select("c"), "c", "left_anti")
-    return mapping
+    return mapping, units
+
 
+def _remaining_edges(postings: DataFrame, sets: DataFrame, mapping: DataFrame, units: DataFrame, percent: int) -> DataFrame:
+    """Verified edges (u, v) between joined groups, from pairs of blocks whose classes share enough prefix tokens.
 
-def _remaining_edges(postings: DataFrame, sets: DataFrame, mapping: DataFrame, percent: int) -> DataFrame:
-    """Verified edges (u, v) between different joined groups: every pair that shares enough prefix tokens."""
-    grouped = postings.join(mapping, "c", "left").withColumn("m", F.coalesce("m", "c"))
-    t = materialise(grouped.groupBy("token", "m").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("l").alias("l")), "ngram-groups")
-    x, y = (t.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("m", "least", "most", "l")]) for s in "xy")
+    All pairs inside a block are verified before. Blocks meet as wholes: a group of many classes that are
+    alike but not linked is a few pairs of blocks, not all its pairs of classes.
+    """
+    placed = units.join(mapping, "c", "left").withColumn("m", F.coalesce("m", "c"))
+    t = postings.join(placed, "c").groupBy("token", "u").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("l").alias("l"), F.min("m").alias("low"), F.max("m").alias("high"))
+    t = materialise(t, "ngram-groups")
+    x, y = (t.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("u", "least", "most", "l", "low", "high")]) for s in "xy")
     fits = (F.col("most_x") * 100 >= F.col("least_y") * percent) & (F.col("most_y") * 100 >= F.col("least_x") * percent)
-    pairs = x.join(y, (x.token == y.token) & (F.col("m_x") < F.col("m_y")) & fits).groupBy("m_x", "m_y").agg(F.count("*").alias("shared"), F.min(F.least("l_x", "l_y")).alias("l"))
-    pairs = materialise(pairs.filter("shared >= l").select("m_x", "m_y"), "ngram-pairs")
-    asked = pairs.select(F.col("m_x").alias("m")).union(pairs.select(F.col("m_y").alias("m"))).distinct()
-    whole = sets.join(mapping, "c", "left").withColumn("m", F.coalesce("m", "c")).join(asked, "m")
-    size = whole.groupBy("m").agg(F.ceil(F.sum("n") / F.lit(BLOCK_TOKENS)).alias("blocks"))
-    blocks = whole.join(size, "m").groupBy("m", F.pmod(F.xxhash64("c"), F.col("blocks")).alias("block")).agg(F.collect_list("set").alias("sets"))
-    blocks = materialise(blocks.select("m", "sets"), "ngram-blocks")
+    joined = (F.col("low_x") == F.col("high_x")) & (F.col("low_y") == F.col("high_y")) & (F.col("low_x") == F.col("low_y"))
+    pairs = x.join(y, (x.token == y.token) & (F.col("u_x") < F.col("u_y")) & fits & ~joined).groupBy("u_x", "u_y").agg(F.count("*").alias("shared"), F.min(F.least("l_x", "l_y")).alias("l"))
+    pairs = materialise(pairs.filter("shared >= l").select("u_x", "u_y"), "ngram-pairs")
+    asked = pairs.select(F.col("u_x").alias("u")).union(pairs.select(F.col("u_y").alias("u"))).distinct()
+    whole = sets.join(placed, "c").join(asked, "u").groupBy("u").agg(F.collect_list(F.struct("m.a", "m.b", "set")).alias("members"))
+    blocks = materialise(whole, "ngram-blocks")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def side(cell: pa.ListScalar) -> tuple[list[tuple[int, int]], list[np.ndarray]]:
+            a, b, s = (cell.values.field(i) for i in range(3))
+            return list(zip(a.to_pylist(), b.to_pylist())), [np.frombuffer(v.as_buffer(), "<u8") for v in s]
+
         for batch in batches:
-            keep = []
+            found: set[tuple[int, int, int, int]] = set()
             for k in range(batch.num_rows):
-                x, y = ([np.frombuffer(s.as_buffer(), "<u8") for s in batch.column(c)[k].values] for c in (4, 5))
-                keep.append(len(links(x, percent, y)) > 0)
-            yield batch.filter(pa.array(keep, pa.bool_())).select([0, 1, 2, 3])
-
-    both = pairs.join(blocks.select(F.col("m").alias("m_x"), F.col("sets").alias("x")), "m_x").join(blocks.select(F.col("m").alias("m_y"), F.col("sets").alias("y")), "m_y")
-    found = both.select("m_x.a", "m_x.b", F.col("m_y.a").alias("ma"), F.col("m_y.b").alias("mb"), "x", "y").mapInArrow(verify, "a long, b long, ma long, mb long")
+                (names_x, x), (names_y, y) = (side(batch.column(c)[k]) for c in (0, 1))
+                for i, j in links(x, percent, y).tolist():
+                    if names_x[i] != names_y[j]:
+                        found.add((*names_x[i], *names_y[j]))
+            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in range(4)], ["a", "b", "ma", "mb"])
+
+    both = pairs.join(blocks.select(F.col("u").alias("u_x"), F.col("members").alias("x")), "u_x").join(blocks.select(F.col("u").alias("u_y"), F.col("members").alias("y")), "u_y")
+    found = both.select("x", "y").mapInArrow(verify, "a long, b long, ma long, mb long")
     return found.select(_class().alias("u"), F.struct(F.col("ma").alias("a"), F.col("mb").alias("b")).alias("v"))
 
 
@@ -492,8 +506,8 @@ def jaccard_components(docs: DataFrame, *, words: int = 5, percent: int = 80, po
     postings = materialise(_possible(postings), "ngram-possible")
     wanted = classes.join(postings.select("c").distinct(), "c").select("k", "c")
     sets = materialise(_whole_sets(docs, wanted, words), "ngram-sets")
-    mapping = _merge(postings, sets, percent)
-    roots = connected_components(_remaining_edges(postings, sets, mapping, percent))
+    mapping, units = _merge(postings, sets, percent)
+    roots = connected_components(_remaining_edges(postings, sets, mapping, units, percent))
     release(postings, sets)
     joined = mapping.join(roots.withColumnRenamed("u", "m"), "m", "left").select("c", F.coalesce("root", "m").alias("g"))
     joined = joined.unionByName(roots.select(F.col("u").alias("c"), F.col("root").alias("g"))).distinct()
