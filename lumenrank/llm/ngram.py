@@ -118,7 +118,7 @@ def _count_pass(docs: DataFrame, words: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, n), pa.array(np.diff(cuts)), pa.array(a), pa.array(b), pa.nulls(n, types[4]), pa.nulls(n, types[5])], names)
                 held.append((values >> _U(64 - BUCKET_BITS)).astype(np.uint32))
                 size += len(values)
-                if size > 8 << 20:
+                if size > 2 << 20:
                     yield flush()
         if size:
             yield flush()
@@ -264,7 +264,7 @@ def _shared_postings(docs: DataFrame, words: int, percent: int, tokens_of: Token
                     p["token"], p["a"], p["b"], p["n"], p["l"] = tokens, key[0], key[1], j - i, matches
                     held.append(p)
                     size += len(p)
-                if size > 2 << 20:
+                if size > 1 << 19:
                     yield flush()
         if size:
             yield flush()

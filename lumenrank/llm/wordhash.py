@@ -87,7 +87,7 @@ def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, *, fold: bool
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(_U))
 
 
-def blocks(texts: pa.Array, max_bytes: int = 4 << 20):
+def blocks(texts: pa.Array, max_bytes: int = 1 << 20):
     """Runs of whole texts of about ``max_bytes``: (first row, bytes, offsets). One long text is one run."""
     data, offsets = buffers(texts)
     i, n = 0, len(offsets) - 1
