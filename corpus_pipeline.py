@@ -15,9 +15,9 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the multi-line chunks that stand elsewhere before; every row stays."""
-    kept = linededup.dedup_lines(docs)
-    length = F.when(F.col("removed_chunks") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    """Texts without the multi-line chunks and the passages of over 50 words that stand elsewhere before; every row stays."""
+    kept = linededup.dedup_passages(linededup.dedup_lines(docs))
+    length = F.when((F.col("removed_chunks") > 0) | (F.col("removed_words") > 0), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     return kept.withColumn("n_chars", length).select(*docs.columns)
 
 

@@ -10,15 +10,19 @@ becomes empty, and its row stays; chunks of one line, of white space only, or of
 ``min_words`` words are never removed; rows equal in all columns count as one row, so none loses
 anything to the other; an empty table gives an empty result; other columns pass through, and columns
 with the names of the added ones are replaced.
+
+``dedup_passages`` then removes what such chunks cannot hold: repeated passages on one line or a few,
+among lines of the document's own.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,6 +30,7 @@ from lumenrank.llm import wordhash
 from lumenrank.llm.common import materialise
 
 WINDOW, MASK, MOST = 2, 3, 16  # lines of the rolling hash; one boundary in MASK + 1; lines of a chunk at most
+PASSAGE, BITS = 51, 26  # words of a passage at least; log2 of the bitmap of shingles that occur again
 CHUNKS = "row long, doc_id long, chunk int, first_line int, n_lines int, h1 long, h2 long, text binary"
 
 
@@ -145,3 +150,119 @@ def dedup_lines(docs: DataFrame, *, min_words: int = 10) -> DataFrame:
 
     full = T.StructType([*docs.schema.fields, *(T.StructField(name, T.LongType()) for name in added)])
     return joined.select(*columns, "_gone").mapInArrow(rebuild, full)
+
+
+def sliding(f: np.ufunc, x: np.ndarray, width: int) -> np.ndarray:
+    """``f`` (minimum or maximum) over every run of ``width`` values, by doubling."""
+    size = 1
+    while 2 * size <= width:
+        x = f(x[: len(x) - size], x[size:])
+        size *= 2
+    return f(x[: len(x) - (width - size)], x[width - size :]) if size < width else x
+
+
+def passage_windows(data: np.ndarray, offsets: np.ndarray, words: int):
+    """Word starts, ends, texts' first words; and per run of ``words`` words inside one text (others 0) its least shingle hash, with all shingle hashes."""
+    starts, ends, firsts = wordhash.spans(data, offsets, wordhash.ASCII_SPACE)
+    shingle = (words + 1) // 2
+    if len(starts) < words:
+        return starts, ends, firsts, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    text = np.repeat(np.arange(len(offsets) - 1), np.diff(firsts))
+    h = np.maximum(wordhash.hashes(data, starts[: len(starts) - shingle + 1], ends[shingle - 1 :]), np.uint64(1))
+    least = sliding(np.minimum, h, words - shingle + 1)
+    return starts, ends, firsts, np.where(text[: len(least)] == text[words - 1 :], least, np.uint64(0)), h
+
+
+def repeated_passages(numbered: DataFrame, words: int) -> DataFrame:
+    """row, start (word) of every later occurrence of a run of ``words`` words."""
+    spark = numbered.sparkSession
+
+    def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, data, offsets in wordhash.blocks(batch.column(0)):
+                *_, least, h = passage_windows(data, offsets, words)
+                pad = np.zeros(len(h) - len(least), np.uint64)
+                chosen = sliding(np.maximum, np.concatenate([pad, least, pad]), len(pad) + 1) == h if len(h) else np.zeros(0, bool)
+                yield pa.RecordBatch.from_arrays([pa.array(h[chosen].view(np.int64))], ["h"])
+
+    # equal runs have equal least shingles, so a run is met again only if that one is: a bitmap of 8 MB says which are
+    again = numbered.select("text").mapInArrow(anchors, "h long").groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
+    bit = F.shiftrightunsigned("h", 64 - BITS) + 1
+    parts = again.groupBy(F.bitmap_bucket_number(bit).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).collect()
+    bitmap = np.zeros((1 << BITS) // 8, np.uint8)
+    for p in parts:
+        bitmap[(p.k - 1) * 4096 :][: len(p.bits)] = np.frombuffer(p.bits, np.uint8)
+    bitmap = spark.sparkContext.broadcast(bitmap)
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = bitmap.value
+        for batch in batches:
+            for row, data, offsets in wordhash.blocks(batch.column(2)):
+                starts, ends, firsts, least, _ = passage_windows(data, offsets, words)
+                at = least >> np.uint64(64 - BITS)
+                found = np.flatnonzero((least > 0) & ((bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0))
+                raw = data.tobytes()
+                for k in range(0, len(found), 1 << 16):
+                    at = found[k : k + (1 << 16)]
+                    digest = np.frombuffer(b"".join(blake2b(raw[i:j], digest_size=16).digest() for i, j in zip(starts[at].tolist(), ends[at + words - 1].tolist())), "<i8").reshape(-1, 2)
+                    doc = np.searchsorted(firsts, at, side="right") - 1
+                    take = pa.array(doc + row)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array((at - firsts[doc]).astype(np.int32)), pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy())], ["row", "doc_id", "start", "h1", "h2"])
+
+    found = numbered.select("row", "doc_id", "text").mapInArrow(runs, "row long, doc_id long, start int, h1 long, h2 long")
+    order = Window.partitionBy("h1", "h2").orderBy(F.col("doc_id").asc_nulls_first(), "row", "start")
+    first = found.withColumn("_f", F.first(F.struct("row", "start")).over(order))
+    return first.filter((F.col("row") != F.col("_f.row")) | (F.col("start") >= F.col("_f.start") + words)).select("row", "start")
+
+
+def cut_words(text: bytes, starts: list[int], words: int) -> tuple[bytes, int]:
+    """``text`` without the runs of ``words`` words from ``starts`` on, and the number of words gone.
+
+    Of the white space on both sides of a cut one stays: the later one if only it has a newline.
+    """
+    a, b, _ = wordhash.spans(np.frombuffer(text, np.uint8), np.array([0, len(text)]), wordhash.ASCII_SPACE)
+    step = np.zeros(len(a) + 1, np.int64)
+    np.add.at(step, np.array(starts), 1)
+    np.add.at(step, np.array(starts) + words, -1)
+    gone = np.cumsum(step)[:-1] > 0
+    if gone.all():
+        return b"", len(a)
+    edge = np.diff(np.concatenate([[0], gone.astype(np.int8), [0]]))
+    out, at = [], 0
+    for i, j in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist()):
+        before = text[b[i - 1] : a[i]] if i else None
+        after = text[b[j - 1] : a[j]] if j < len(a) else None
+        later = before is None or (after is not None and b"\n" in after and b"\n" not in before)
+        out.append(text[at : b[i - 1] if later and i else a[i] if i == 0 or after is not None else b[i - 1]])
+        at = b[j - 1] if after is None or (later and i) else a[j]
+    return b"".join([*out, text[at:]]), int(gone.sum())
+
+
+def dedup_passages(docs: DataFrame, *, words: int = PASSAGE) -> DataFrame:
+    """``docs`` without the passages of ``words`` words or more that stand earlier in the corpus, whatever their lines; removed_words added.
+
+    A run of ``words`` words with its white space stays where it comes first (smallest doc_id, then row
+    and position) and goes everywhere else, except where it overlaps that first place; runs side by side
+    join, so a passage goes up to its true edges. Runs are equal if 128-bit BLAKE2 digests of their bytes are.
+    """
+    docs = materialise(docs.select(*[c for c in docs.columns if c != "removed_words"]), "passages")
+    number = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c, t in docs.dtypes if t in ("bigint", "int", "string")])
+    key = docs.withColumn("_row", number)
+    again = repeated_passages(key.select(F.col("_row").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text"), words)
+    per_row = again.distinct().groupBy(F.col("row").alias("_r")).agg(F.collect_list("start").alias("_gone"))
+    joined = key.join(per_row, F.col("_row") == F.col("_r"), "left").drop("_r", "_row")
+    columns = docs.columns
+
+    def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = columns.index("text")
+        for batch in batches:
+            out, cut = batch.column(at).to_pylist(), [0] * batch.num_rows
+            for k, gone in enumerate(batch.column(len(columns)).to_pylist()):
+                if gone:
+                    kept, cut[k] = cut_words(out[k].encode(), gone, words)
+                    out[k] = kept.decode()
+            arrays = [pa.array(out, pa.string()) if k == at else batch.column(k) for k in range(len(columns))]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(cut, pa.int64())], [*columns, "removed_words"])
+
+    full = T.StructType([*docs.schema.fields, T.StructField("removed_words", T.LongType())])
+    return joined.select(*columns, "_gone").mapInArrow(rebuild, full)
