@@ -2,8 +2,9 @@
 
 ``encode_wave`` stores bytes losslessly as the 8-bit samples of a RIFF WAVE file, ``decode_wave``
 reads them back. ``audio_features`` resamples by a polyphase filter (only the taps that meet real
-samples are computed), takes overlapped log-mel filterbanks, marks segments by a hysteresis on the
-frame energy, and cuts segments into patches of one fixed shape with their time spans.
+samples are computed), takes overlapped log-mel filterbanks, cuts all frames into patches of one fixed
+shape with their time spans, and marks segments by a hysteresis on the frame energy, with their own
+patches.
 
 Defined results: a null payload counts as empty, and empty audio has no frame and no segment; equal
 payloads give equal rows; samples are processed in blocks, so memory is bounded by a payload and its
@@ -26,7 +27,7 @@ UP, DOWN, TAPS = 2, 3, 24  # RATE_OUT / RATE_IN, and filter taps a phase
 FRAME, HOP, MELS, PATCH = 256, 128, 16, 16
 #: Frame energy in dB over the payload's own median: a segment begins above the first, ends below the second.
 ON_DB, OFF_DB = 1.5, 0.5
-SEGMENTS = "array<struct<start_ms: double, end_ms: double, mean_db: float, tensor: array<float>>>"
+PATCHES = "array<struct<start_ms: double, end_ms: double, mean_db: float, tensor: array<float>>>"
 
 
 def encode_wave(payload: bytes, rate: int = RATE_IN) -> bytes:
@@ -120,18 +121,29 @@ def segments(energy: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist()))
 
 
-def features(samples: bytes) -> tuple[int, list[tuple[float, float, float, np.ndarray]]]:
-    """(frames, patches) of 8-bit samples; a patch is (start ms, end ms, mean dB, tensor [PATCH, MELS])."""
-    x = (np.frombuffer(samples, np.uint8).astype(np.float32) - 128) / 128
-    mel, energy = log_mel(resample(x))
+def cut(mel: np.ndarray, energy: np.ndarray, spans: list[tuple[int, int]]) -> list[tuple[float, float, float, np.ndarray]]:
+    """The frames of ``spans`` as patches: (start ms, end ms, mean dB, tensor [PATCH, MELS], filled up with -60)."""
     patches, ms = [], 1000 / RATE_OUT
-    for a, b in segments(energy):
+    for a, b in spans:
         for i in range(a, b, PATCH):
             j = min(b, i + PATCH)
             tensor = np.full((PATCH, MELS), -60, np.float32)
             tensor[: j - i] = mel[i:j]
             patches.append((i * HOP * ms, ((j - 1) * HOP + FRAME) * ms, float(np.round(energy[i:j].mean(dtype=np.float64), 2)), tensor))
-    return len(energy), patches
+    return patches
+
+
+def analysis(samples: bytes) -> tuple[int, list, list]:
+    """(frames, patches of all frames, patches of the segments) of 8-bit samples."""
+    x = (np.frombuffer(samples, np.uint8).astype(np.float32) - 128) / 128
+    mel, energy = log_mel(resample(x))
+    return len(energy), cut(mel, energy, [(0, len(energy))]), cut(mel, energy, segments(energy))
+
+
+def features(samples: bytes) -> tuple[int, list[tuple[float, float, float, np.ndarray]]]:
+    """(frames, patches of the segments) of 8-bit samples."""
+    frames, _, patches = analysis(samples)
+    return frames, patches
 
 
 def fixed_shape_tensors(values: pa.Array) -> pa.FixedShapeTensorArray:
@@ -161,39 +173,40 @@ def media_table(docs: DataFrame, *, unit: int = 576) -> DataFrame:
 
 
 def audio_features(media: DataFrame) -> DataFrame:
-    """Read each stored WAVE back: its samples (``payload``), number of frames and segments' patches.
+    """Read each stored WAVE back: its samples (``payload``), number of frames, patches of all frames, and segments' patches.
 
-    ``segments`` holds spans and tensors of one shape, [PATCH, MELS] flattened; ``fixed_shape_tensors``
-    gives them their Arrow type.
+    ``patches`` and ``segments`` hold spans and tensors of one shape, [PATCH, MELS] flattened;
+    ``fixed_shape_tensors`` gives them their Arrow type.
     """
-    types = (pa.binary(), pa.int64(), pa.list_(pa.struct([("start_ms", pa.float64()), ("end_ms", pa.float64()), ("mean_db", pa.float32()), ("tensor", pa.list_(pa.float32()))])))
+    added = ("payload", "n_frames", "patches", "segments")
 
-    def columns(payloads: list[bytes], frames: list[int], found: list[list]) -> list[pa.Array]:
+    def lists_of(found: list[list]) -> pa.Array:
         flat = [p for patches in found for p in patches]
         tensors = fixed_shape_tensors(pa.array(np.concatenate([p[3].ravel() for p in flat]) if flat else np.zeros(0, np.float32)))
         values = tensors.storage.flatten()
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1) * PATCH * MELS, pa.int32()), values)
         structs = pa.StructArray.from_arrays([pa.array([p[0] for p in flat], pa.float64()), pa.array([p[1] for p in flat], pa.float64()), pa.array([p[2] for p in flat], pa.float32()), lists], ["start_ms", "end_ms", "mean_db", "tensor"])
         ends = np.concatenate([[0], np.cumsum([len(x) for x in found])])
-        return [pa.array(payloads, types[0]), pa.array(frames, types[1]), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), structs)]
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), structs)
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names, n, at = batch.schema.names, batch.num_rows, batch.schema.names.index("media")
-            first, size, payloads, frames, found = 0, 0, [], [], []
+            first, size, payloads, frames, whole, found = 0, 0, [], [], [], []
             for k in range(n):
                 value = batch.column(at)[k]
                 payload = decode_wave(value.as_buffer().to_pybytes())[1] if value.is_valid else b""
-                count, patches = features(payload)
+                count, patches, marked = analysis(payload)
                 payloads.append(payload)
                 frames.append(count)
-                found.append(patches)
+                whole.append(patches)
+                found.append(marked)
                 size += len(payload)
                 if size > 8 << 20 or k == n - 1:
                     part = batch.slice(first, k + 1 - first)
-                    yield pa.RecordBatch.from_arrays([*part.columns, *columns(payloads, frames, found)], [*names, "payload", "n_frames", "segments"])
-                    first, size, payloads, frames, found = k + 1, 0, [], [], []
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(payloads, pa.binary()), pa.array(frames, pa.int64()), lists_of(whole), lists_of(found)], [*names, *added])
+                    first, size, payloads, frames, whole, found = k + 1, 0, [], [], [], []
 
-    kept = [c for c in media.columns if c not in ("payload", "n_frames", "segments")]
+    kept = [c for c in media.columns if c not in added]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in media.select(*kept).schema)
-    return media.select(*kept).mapInArrow(compute, f"{schema}, payload binary, n_frames long, segments {SEGMENTS}")
+    return media.select(*kept).mapInArrow(compute, f"{schema}, payload binary, n_frames long, patches {PATCHES}, segments {PATCHES}")

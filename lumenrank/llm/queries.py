@@ -14,7 +14,7 @@ from lumenrank.llm.common import materialise, table
 def op1_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Store each text as a WAVE, read the stored bytes back, digest them and the features computed from them."""
     stored = materialise(media.media_table(table(spark, sf_dir, "documents")), "media")
-    digest = F.concat_ws(":", F.lit("logmel"), "n_frames", F.size("segments"), F.lower(F.hex(F.xxhash64("segments"))))
+    digest = F.concat_ws(":", F.lit("logmel"), "n_frames", F.size("patches"), F.size("segments"), F.lower(F.hex(F.xxhash64("patches", "segments"))))
     return media.audio_features(stored).select(
         "doc_id", "n_bytes", F.length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
         F.crc32(F.substring("payload", -32, 32)).alias("tail_crc32"), F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), digest.alias("feature"),
