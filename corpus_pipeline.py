@@ -22,13 +22,21 @@ def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of five-word shingle sets with a similarity of 0.8 or more: its smallest id.
+    """One row of each component of five-word shingle sets with a similarity of 0.8 or more: that of its smallest id.
 
-    Rows that repeat that id are the same document and stay; rows without an id go if their component has one.
+    Rows are told apart by a key of their own, so repeated ids and rows without an id are rows like others;
+    rows without an id come last. Texts without words are linked with nothing and stay.
     """
-    found = ngram.jaccard_components(docs.select("doc_id", "text"), words=5, percent=80)
-    gone = found.filter("component_id IS NOT NULL AND NOT component_id <=> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti").select(*docs.columns)
+    keyed = docs.withColumns({"_key": F.monotonically_increasing_id(), "_hash": F.xxhash64(*docs.columns)})
+    keyed = materialise(keyed, "keyed-rows")  # the keys must be the same at every reading
+    found = ngram.jaccard_components(keyed.select(F.col("_key").alias("doc_id"), "text"), words=5, percent=80)
+    found = materialise(found.select(F.col("doc_id").alias("_key"), F.col("component_id").alias("_component")), "row-components")
+    shared = found.join(found.groupBy("_component").agg(F.count("*").alias("_n")).filter("_n > 1"), "_component").select("_key", "_component")
+    placed = shared.join(keyed.select("_key", "_hash", "doc_id"), "_key")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "_hash", "_key")
+    stay = placed.groupBy("_component").agg(F.min(order).getField("_key").alias("_key"))
+    gone = shared.join(stay, "_key", "left_anti").select("_key")
+    return keyed.join(gone, "_key", "left_anti").select(*docs.columns)
 
 
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
