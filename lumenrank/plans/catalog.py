@@ -786,7 +786,7 @@ def proteome_pipeline(spark, sf_dir):
 def _model_rows(spark, sf_dir):
     d = t(spark, sf_dir, "documents").select("doc_id", "lang", F.length("text").cast("double").alias("n"), F.length(F.regexp_replace("text", "[^ ]", "")).cast("double").alias("spaces"), F.length(F.regexp_replace("text", "[^|%#*&$!]", "")).cast("double").alias("symbols"))
     d = d.select("doc_id", "lang", F.log1p("n").alias("size"), (F.col("spaces") / F.greatest(F.lit(1.0), "n")).alias("space_rate"), (F.col("symbols") / F.greatest(F.lit(1.0), "n")).alias("symbol_rate"))
-    return ml.stratified_folds(d.join(t(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label")), "doc_id"), "doc_id", ["label"], k=3)
+    return ml.stratified_folds(d.join(t(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label")), "doc_id"), "doc_id", ["label"])
 
 
 _INPUTS = ("size", "space_rate", "symbol_rate")
@@ -794,18 +794,18 @@ _INPUTS = ("size", "space_rate", "symbol_rate")
 
 @query()
 def rf_oof_score(spark, sf_dir):
-    return ml.out_of_fold(_model_rows(spark, sf_dir), ml.forest(_INPUTS, trees=20), "RandomForest", k=3).select("doc_id", "label", "fold", "score", "method")
+    return ml.out_of_fold(_model_rows(spark, sf_dir), ml.forest(_INPUTS), "RandomForest").select("doc_id", "label", "fold", "score", "method")
 
 
 @query()
 def gbt_oof_score(spark, sf_dir):
-    return ml.out_of_fold(_model_rows(spark, sf_dir), ml.boosted(_INPUTS, rounds=10), "GradientBoosting", k=3).select("doc_id", "label", "fold", "score", "method")
+    return ml.out_of_fold(_model_rows(spark, sf_dir), ml.boosted(_INPUTS), "GradientBoosting").select("doc_id", "label", "fold", "score", "method")
 
 
 @query()
 def feature_ablation(spark, sf_dir):
     groups = {"size": ("size",), "rates": ("space_rate", "symbol_rate"), "all": _INPUTS}
-    out = ml.ablation(_model_rows(spark, sf_dir), groups, lambda f: ml.forest(f, trees=10), k=3)
+    out = ml.ablation(_model_rows(spark, sf_dir), groups, ml.forest)
     return metrics.ranked_metrics(out, ["method"], "score", "label", "doc_id")
 
 
@@ -818,9 +818,9 @@ def transfer_matrix(spark, sf_dir):
     rows = _model_rows(spark, sf_dir)
     both = rows.filter("lang IS NOT NULL").groupBy("lang").agg(F.count_distinct("label").alias("n")).filter("n > 1")
     langs = sorted(r.lang for r in both.collect())
-    out = ml.out_of_fold(rows, ml.forest(_INPUTS, trees=10), "All", k=3).withColumns({"trained_on": F.lit("All"), "tested_on": F.lit("All")}).drop("method")
+    out = ml.out_of_fold(rows, ml.forest(_INPUTS), "All").withColumns({"trained_on": F.lit("All"), "tested_on": F.lit("All")}).drop("method")
     if len(langs) > 1:
-        out = ml.transfer(rows.filter(F.col("lang").isin(langs)), "lang", langs, lambda: ml.forest(_INPUTS, trees=10)).unionByName(out)
+        out = ml.transfer(rows.filter(F.col("lang").isin(langs)), "lang", langs, lambda: ml.forest(_INPUTS)).unionByName(out)
     return metrics.ranked_metrics(out, ["trained_on", "tested_on"], "score", "label", "doc_id")
 
 

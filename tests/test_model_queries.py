@@ -21,3 +21,23 @@ def test_transfer_covers_every_language_and_the_pool(spark, tmp_path, monkeypatc
     langs = ["de", "en", "es", "fr"]
     assert set(got) == {("All", "All"), *((a, b) for a in langs for b in langs if a != b)}
     assert got["All", "All"] == 150 and got["en", "es"] == 29 and got["de", "fr"] == 30
+
+
+def test_models_are_of_full_size(spark, tmp_path, monkeypatch):
+    tables(spark, tmp_path)
+    fits = []
+
+    def scored(df, pipeline, method, k=5):
+        model = pipeline.getStages()[-1]
+        fits.append((k, model.getNumTrees() if hasattr(model, "getNumTrees") else model.getMaxIter(), df.agg({"fold": "max"}).first()[0]))
+        return df.withColumns({"score": catalog.F.lit(0.5), "method": catalog.F.lit(method)})
+
+    def moved(df, by, values, make):
+        fits.append((5, make().getStages()[-1].getNumTrees(), 4))
+        return df.withColumns({"score": catalog.F.lit(0.5), "trained_on": catalog.F.lit("x"), "tested_on": catalog.F.col(by)})
+
+    monkeypatch.setattr(catalog.ml, "out_of_fold", scored)
+    monkeypatch.setattr(catalog.ml, "transfer", moved)
+    for query in (catalog.rf_oof_score, catalog.gbt_oof_score, catalog.feature_ablation, catalog.transfer_matrix):
+        query(spark, str(tmp_path))
+    assert len(fits) == 7 and set(fits) == {(5, 200, 4)}
