@@ -139,7 +139,10 @@ def _matrix(column: pa.Array, d: int) -> np.ndarray:
 
 
 def search(vectors: DataFrame, is_query: Column, *, k: int = 20, rerank: int = 160) -> DataFrame:
-    """query_id, rank, vec_id, score: each query row's k nearest other rows."""
+    """query_id, rank, vec_id, score: each query row's k nearest other rows.
+
+    Equal query rows are one query; query rows of one id with different vectors are ranked each by itself.
+    """
     spark = vectors.sparkSession
     v, d, n = valid_vectors(vectors)
     if not n:
@@ -147,8 +150,9 @@ def search(vectors: DataFrame, is_query: Column, *, k: int = 20, rerank: int = 1
     sample = v.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toArrow()["embedding"].combine_chunks()
     book = AnisotropicCodebook.fit(_matrix(sample, d).astype(np.float32))
     blocks = -(-n // BLOCK)
-    rows = v.select((F.pmod(F.xxhash64("vec_id"), F.lit(blocks))).cast("int").alias("block"), F.lit(0).alias("kind"), "vec_id", "embedding")
-    queries = v.filter(is_query).select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("kind"), "vec_id", "embedding")
+    rows = v.select((F.pmod(F.xxhash64("vec_id"), F.lit(blocks))).cast("int").alias("block"), F.lit(0).alias("kind"), "vec_id", "embedding", F.lit(0).cast("long").alias("query"))
+    asked = v.filter(is_query).dropDuplicates(["vec_id", "embedding"]).withColumn("query", F.xxhash64("embedding"))
+    queries = asked.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("kind"), "vec_id", "embedding", "query")
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held, packed, ids, exact = None, [], None, None, None
@@ -170,6 +174,7 @@ def search(vectors: DataFrame, is_query: Column, *, k: int = 20, rerank: int = 1
                 if block[a] != at:
                     at, held, packed, ids = block[a], [], None, None
                 vec_ids, x = batch.column(2)[a:b].to_numpy(zero_copy_only=False), _matrix(batch.column(3)[a:b], d)
+                numbers = batch.column(4)[a:b].to_numpy(zero_copy_only=False)
                 if kind[a] == 0:
                     held.append((vec_ids, x))
                     continue
@@ -177,7 +182,7 @@ def search(vectors: DataFrame, is_query: Column, *, k: int = 20, rerank: int = 1
                     finish()
                 if ids is None:
                     continue
-                out: list[list[np.ndarray]] = [[], [], []]
+                out: list[list[np.ndarray]] = [[], [], [], []]
                 for i in range(0, len(x), 64):
                     tables = book.tables(x[i : i + 64].astype(np.float32))
                     for q, table in enumerate(tables, i):
@@ -188,9 +193,10 @@ def search(vectors: DataFrame, is_query: Column, *, k: int = 20, rerank: int = 1
                         out[0].append(np.full(len(top), vec_ids[q]))
                         out[1].append(ids[c[top]])
                         out[2].append(s[top])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in out], ["query_id", "vec_id", "score"])
+                        out[3].append(np.full(len(top), numbers[q]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in out], ["query_id", "vec_id", "score", "query"])
 
     dealt = rows.unionByName(queries).repartition("block").sortWithinPartitions("block", "kind", "vec_id")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    found = dealt.mapInArrow(near, RESULT).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    order = Window.partitionBy("query_id", "query").orderBy(F.desc("score"), "vec_id")
+    found = dealt.mapInArrow(near, f"{RESULT}, query long").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return found.select("query_id", "rank", "vec_id", "score")
