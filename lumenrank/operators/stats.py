@@ -46,10 +46,11 @@ def benjamini_hochberg(df: DataFrame, p: str, by: Sequence[str] = ()) -> DataFra
 def sign_flip(df: DataFrame, delta: str, by: Sequence[str] = (), most: int = 20) -> DataFrame:
     """One-sided exact sign-flip p-value of paired differences over all 2^n signs; 1 if the mean is not above 0.
 
-    For families of at most ``most`` folds.
+    For families of at most ``most`` folds; a larger one is an error.
     """
     g = (df.groupBy(*by) if by else df.groupBy()).agg(F.array_sort(F.collect_list(delta)).alias("_d"))
-    g = g.filter(F.size("_d") <= most).withColumn("_observed", F.aggregate("_d", F.lit(0.0), lambda s, x: s + x) / F.size("_d"))
+    large = F.raise_error(F.format_string(f"sign_flip: a family of %d deltas; {most} at most", F.size("_d")))
+    g = g.withColumn("_observed", F.when(F.size("_d") > most, large).otherwise(F.aggregate("_d", F.lit(0.0), lambda s, x: s + x) / F.size("_d")))
     flips = g.withColumn("_m", F.expr("explode(sequence(0, shiftleft(1, size(_d)) - 1))"))
     mean = F.expr("aggregate(transform(_d, (x, i) -> CASE WHEN bit_get(_m, i) = 1 THEN -x ELSE x END), double(0), (s, x) -> s + x) / size(_d)")
     hit = F.avg((mean >= F.col("_observed") - 1e-12).cast("double"))
