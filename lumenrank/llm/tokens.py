@@ -4,9 +4,10 @@ These vocabularies split text at white space, then into runs of letters and runs
 anything else. So the ids of a text are the ids of its units in a row, where a unit is such a run,
 or a whole space-separated chunk if it holds anything but Latin letters and plain marks (digits,
 apostrophes, special-token strings, other scripts, other white space). Natural text repeats its
-units: each Python worker keeps a bounded table from a unit's 64-bit hash to its ids, and a batch
-of texts is encoded by hashing, one sort and one ragged gather. New runs go to the merge model,
-new chunks through the full tokenizer.
+units: each Python worker keeps a bounded table from a unit's 64-bit hash to its bytes and ids, and a
+batch of texts is encoded by hashing, one sort and one ragged gather. New runs go to the merge model,
+new chunks through the full tokenizer. Every unit is compared with the bytes that its table row was
+made from; a run of texts with a unit that only has the hash of another goes through the tokenizer itself.
 """
 
 from __future__ import annotations
@@ -52,6 +53,10 @@ class CachedEncoder:
         self._count = np.zeros(0, np.int32)
         self._ids = np.zeros(1 << 18, np.uint32)
         self._used = 0
+        self._begin = np.zeros(0, np.int64)  # where a unit's bytes are, and how many
+        self._size = np.zeros(0, np.int64)
+        self._bytes = np.zeros(1 << 18, np.uint8)
+        self._filled = 0
 
     def _learn(self, at: np.ndarray, keys: np.ndarray, units: list[bytes], plain: np.ndarray) -> None:
         """Put new sorted keys at their places ``at``."""
@@ -70,14 +75,40 @@ class CachedEncoder:
             for k, e in zip(rest, self._full.encode_batch_fast([units[k].decode("utf-8", "replace") for k in rest], add_special_tokens=False)):
                 ids[k] = np.array(e.ids, np.uint32)
                 counts[k] = len(ids[k])
-        flat = np.concatenate(ids)
-        while self._used + len(flat) > len(self._ids):
-            self._ids = np.concatenate([self._ids, np.zeros_like(self._ids)])
-        self._ids[self._used : self._used + len(flat)] = flat
-        self._first = np.insert(self._first, at, self._used + np.cumsum(counts) - counts)
+        flat, raw = np.concatenate(ids), np.frombuffer(b"".join(units), np.uint8)
+        self._ids, first = self._append(self._ids, self._used, flat)
+        self._bytes, begin = self._append(self._bytes, self._filled, raw)
+        sizes = np.array([len(u) for u in units], np.int64)
+        self._first = np.insert(self._first, at, first + np.cumsum(counts) - counts)
         self._count = np.insert(self._count, at, counts)
+        self._begin = np.insert(self._begin, at, begin + np.cumsum(sizes) - sizes)
+        self._size = np.insert(self._size, at, sizes)
         self._keys = np.insert(self._keys, at, keys)
         self._used += len(flat)
+        self._filled += len(raw)
+
+    @staticmethod
+    def _append(store: np.ndarray, used: int, new: np.ndarray) -> tuple[np.ndarray, int]:
+        """``store``, grown by doubling, with ``new`` after its first ``used`` values (and eight to spare)."""
+        while used + len(new) + 8 > len(store):
+            store = np.concatenate([store, np.zeros_like(store)])
+        store[used : used + len(new)] = new
+        return store, used
+
+    def _same_bytes(self, data: np.ndarray, first: np.ndarray, last: np.ndarray, rows: np.ndarray) -> bool:
+        """Whether each unit of ``data`` has the bytes of its row of the table."""
+        size = last - first
+        if (self._size[rows] != size).any():
+            return False
+        mine, stored = wordhash.lanes(data), np.ndarray(len(self._bytes) - 7, "<u8", self._bytes, strides=(1,))
+        begin, at = self._begin[rows], 0
+        todo = np.arange(len(rows))
+        while len(todo):
+            left = size[todo] - at
+            if ((mine[first[todo] + at] ^ stored[begin[todo] + at]) & wordhash.FIRST[np.minimum(left, 8)]).any():
+                return False
+            todo, at = todo[left > 8], at + 8
+        return True
 
     def _units(self, data: np.ndarray, offsets: np.ndarray):
         """Folded bytes, and starts, ends and plainness of the units."""
@@ -119,6 +150,11 @@ class CachedEncoder:
             self._learn(at[~known], uniq[~known], [raw[a:b] for a, b in zip(first[where].tolist(), last[where].tolist())], plain[where])
             at = np.searchsorted(self._keys, uniq)
         rows = at[inverse]
+        if not self._same_bytes(folded, first, last, rows):
+            raw = data.tobytes()
+            texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+            ids = [np.array(e.ids, np.uint32) for e in self._full.encode_batch_fast(texts, add_special_tokens=False)]
+            return np.concatenate(ids), np.concatenate([[0], np.cumsum([len(x) for x in ids])])
         begin, count = self._first[rows], self._count[rows]
         total = np.zeros(len(rows) + 1, np.int64)
         np.cumsum(count, out=total[1:])

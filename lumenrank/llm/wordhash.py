@@ -1,18 +1,21 @@
-"""Word boundaries and 64-bit word hashes of a whole Arrow batch of texts, vectorised over bytes.
+"""Word boundaries and 64-bit word hashes of a whole Arrow batch of texts, vectorised over words.
 
-A word's hash is a polynomial of its bytes modulo 2**64, taken as the difference of two prefix
-sums and finished with a 64-bit mixer, so one pass over the batch serves words of any length.
+A word is read in lanes of eight bytes. Its hash starts from its length and takes a lane at a time,
+with a full 64-bit mixer after each, so two words of one length up to eight bytes never share a hash,
+and longer ones do so only by chance: no structure of the bytes cancels out, as it does in a
+polynomial modulo 2**64. Spans beyond ``LONG`` bytes are hashed one by one with XXH3.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from xxhash import xxh3_64_intdigest
 
 _U = np.uint64
-_BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_powers: list[np.ndarray] = [np.ones(1, _U), np.ones(1, _U)]
+_ODD = _U(0x9E3779B97F4A7C15)
+LONG = 128  # bytes of a span from which a call for each costs less than its lanes
+FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], _U)  # masks of the first k bytes of a lane
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -24,26 +27,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(32))
 
 
-_BYTE = mix(np.arange(1, 257, dtype=_U) * _U(_BASE))
-_FOLDED = _BYTE.copy()
-_FOLDED[65:91] = _BYTE[97:123]  # A-Z as a-z
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32  # A-Z as a-z
 SPACE_NEWLINE = np.zeros(256, bool)
 SPACE_NEWLINE[[0x20, 0x0A]] = True
 ASCII_SPACE = np.zeros(256, bool)
 ASCII_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, up to n; grown by doubling."""
-    if len(_powers[0]) <= n:
-        size = 1 << max(16, int(n).bit_length())
-        for k, base in enumerate((_BASE, _INVERSE)):
-            p = np.full(size, base, _U)
-            p[0] = 1
-            _powers[k] = np.multiply.accumulate(p)
-    return _powers[0], _powers[1]
-
-
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and n+1 offsets of a string or binary array; null is empty."""
     if isinstance(texts, pa.ChunkedArray):
@@ -79,12 +70,48 @@ def spans(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray) -> tupl
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def lanes(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each byte on as one number; zeros follow the data."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+
+
 def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, *, fold: bool = False) -> np.ndarray:
-    """One hash per word; ``fold`` lower-cases A-Z."""
-    up, down = _power(len(data))
-    sums = np.zeros(len(data) + 1, _U)
-    np.cumsum((_FOLDED if fold else _BYTE)[data] * up[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(_U))
+    """One hash per span of bytes; ``fold`` lower-cases A-Z."""
+    if fold:
+        data = _LOWER[data]
+    eight, n = lanes(data), ends - starts
+    out = mix((mix(n.astype(_U) * _ODD) ^ (eight[starts] & FIRST[np.minimum(n, 8)])) * _ODD)
+    rest, at = np.flatnonzero((n > 8) & (n <= LONG)), 8
+    while len(rest):
+        left = n[rest] - at
+        lane = eight[starts[rest] + at] & FIRST[np.minimum(left, 8)]
+        out[rest] = mix(out[rest] * _ODD + lane)
+        at += 8
+        rest = rest[left > 8]
+    long = np.flatnonzero(n > LONG)
+    if len(long):
+        raw = memoryview(np.ascontiguousarray(data))
+        out[long] = [xxh3_64_intdigest(raw[i:j]) for i, j in zip(starts[long].tolist(), ends[long].tolist())]
+    return out
+
+
+def windows(h: np.ndarray, width: int) -> np.ndarray:
+    """One hash per run of ``width`` hashes, from runs of 1, 2, 4, ... of them, each half mixed in its place."""
+    n = len(h) - width + 1
+    if n <= 0:
+        return h[:0]
+    out, at, size = None, 0, 1
+    while True:
+        if width & size:
+            part = h[at : at + n]
+            out = part if out is None else mix(out * _ODD + part)
+            at += size
+        if 2 * size > width:
+            return out
+        h = mix(h[:-size] * _ODD + h[size:])
+        size *= 2
 
 
 def blocks(texts: pa.Array, max_bytes: int = 1 << 20):
