@@ -13,6 +13,9 @@ blocks have joined counts as one from then on. Then blocks meet as wholes: two b
 enough prefix tokens, the count taken over all their members, are verified against each other. So a
 group of near copies costs its blocks, and every link between different sets is still found.
 
+Shingles are compared by 64-bit hashes and sets named by 128 bits, both of mixed lanes, so two
+different ones are taken for one another only by chance.
+
 Defined results: a null or empty text, or one of white space only, has an empty set and is linked
 with nothing; fewer words than a shingle make one shingle; repeated rows and ids are rows each, and a
 component's id is the smallest id in it; rows without an id belong to components but do not name
@@ -29,6 +32,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lumenrank.llm import wordhash
 from lumenrank.llm.common import materialise, release
@@ -39,7 +43,8 @@ HEAVY, MOST_HEAVY = 8, 1 << 19  # counts from which a bucket is frequent, and ho
 DIRECT = 256  # postings of tokens this frequent need no look for a partner
 MOST_MATCHES = 32  # the largest l
 PAIR_COST = 20  # of a candidate pair, in postings
-BLOCK_TOKENS = 1 << 16  # tokens of the sets that are joined in one block
+BLOCK_TOKENS, BLOCK_SETS = 1 << 16, 1 << 10  # about the most tokens, and sets, that are joined in one block
+SMALL = 100_000  # edges that one task settles at once
 _U = np.uint64
 
 
@@ -213,95 +218,71 @@ def choose_prefix(values: np.ndarray, counts: np.ndarray, percent: int) -> tuple
     return values[order[: first + k]], k + 1
 
 
-POSTINGS = "token long, a long, b long, n int, l int"
-_POSTING = np.dtype([("token", "<u8"), ("a", "<i8"), ("b", "<i8"), ("n", "<i4"), ("l", "<i4")])
+POSTINGS = "token long, a long, b long, n int, l int, direct boolean"
 
 
 def _shared_postings(docs: DataFrame, words: int, percent: int, tokens_of: TokenCounts, slices: int) -> DataFrame:
-    """The prefix postings (of classes, not documents) of tokens that two classes have."""
+    """The prefix postings (of classes, not documents) of tokens that two classes have.
+
+    Postings are rows that Spark shuffles and sorts by token, so a task holds a batch of them, whatever the
+    token. Those of frequent tokens have a partner for sure and are dealt by token and class.
+    """
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(tokens_of)
+    names = ["token", "a", "b", "n", "l", "direct"]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = sent.value
         seen: set[tuple[int, int]] = set()
-        held: list[np.ndarray] = []
-        size = salt = 0
-
-        def flush() -> pa.RecordBatch:
-            nonlocal held, size, salt
-            p = np.concatenate(held)
-            held, size = [], 0
-            direct = known.of(np.ascontiguousarray(p["token"])) >= DIRECT
-            keys, blobs = [], []
-            rest = p[~direct]
-            where = (rest["token"] % _U(slices)).astype(np.int64)
-            order = np.argsort(where, kind="stable")
-            rest, where = rest[order], where[order]
-            cuts = np.flatnonzero(np.diff(where, prepend=-1)).tolist()
-            for i, j in zip(cuts, [*cuts[1:], len(rest)]):
-                keys.append(int(where[i]))
-                blobs.append(rest[i:j].tobytes())
-            if direct.any():
-                salt += 1
-                keys.append(-1 - hash((int(p["a"][0]), salt)) % 997)
-                blobs.append(p[direct].tobytes())
-            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(blobs, pa.binary())], ["slice", "blob"])
-
         for batch in batches:
             for _, data, offsets in wordhash.blocks(batch.column(0)):
                 values, cuts = shingle_sets(data, offsets, words)
                 a, b = _digests(values, cuts)
                 counts = known.of(values)
+                tokens, of, matches = [], [], []
                 for d, (i, j) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())):
                     key = (int(a[d]), int(b[d]))
                     if i == j or key in seen:
                         continue
-                    if len(seen) < 1_000_000:  # only saves postings of copies
+                    if len(seen) < 200_000:  # only saves postings of copies
                         seen.add(key)
-                    tokens, matches = choose_prefix(values[i:j], counts[i:j], percent)
-                    p = np.empty(len(tokens), _POSTING)
-                    p["token"], p["a"], p["b"], p["n"], p["l"] = tokens, key[0], key[1], j - i, matches
-                    held.append(p)
-                    size += len(p)
-                if size > 1 << 19:
-                    yield flush()
-        if size:
-            yield flush()
-
-    def pair_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows(p: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(p["token"]).view(np.int64)), *(pa.array(np.ascontiguousarray(p[c])) for c in ("a", "b", "n", "l"))], ["token", "a", "b", "n", "l"])
-
-        def shared(parts: list[np.ndarray]) -> np.ndarray:
-            p = np.concatenate(parts)
-            p = p[np.lexsort((p["b"], p["a"], p["token"]))]
-            same = np.zeros(len(p) + 1, bool)  # the token of the row before
-            same[1:-1] = p["token"][1:] == p["token"][:-1]
-            repeat = same[:-1].copy()
-            repeat[1:] &= (p["a"][1:] == p["a"][:-1]) & (p["b"][1:] == p["b"][:-1])
-            p = p[~repeat]
-            same = np.zeros(len(p) + 1, bool)
-            same[1:-1] = p["token"][1:] == p["token"][:-1]
-            return p[same[:-1] | same[1:]]
-
-        at, parts = None, []
-        for batch in batches:
-            for s, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
-                p = np.frombuffer(blob.as_buffer(), _POSTING)
-                if s < 0:
-                    yield rows(p)
+                    prefix, k = choose_prefix(values[i:j], counts[i:j], percent)
+                    tokens.append(prefix)
+                    of.append(d)
+                    matches.append(k)
+                if not of:
                     continue
-                if s != at and parts:
-                    yield rows(shared(parts))
-                    parts = []
-                at = s
-                parts.append(p.copy())
-        if parts:
-            yield rows(shared(parts))
-
-    dealt = docs.select("text").mapInArrow(emit, "slice long, blob binary").repartition("slice").sortWithinPartitions("slice")
-    return dealt.mapInArrow(pair_up, POSTINGS).select("token", _class(), "n", "l").distinct()
+                lengths = [len(t) for t in tokens]
+                doc, t = np.repeat(of, lengths), np.concatenate(tokens)
+                columns = [t.view(np.int64), a[doc], b[doc], np.diff(cuts)[doc].astype(np.int32), np.repeat(matches, lengths).astype(np.int32), known.of(t) >= DIRECT]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of postings sorted by token and class: each once, if another class has its token or it is frequent."""
+        last, sent_on = None, False  # the last row of the batch before, and whether it went on
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = batch if last is None else pa.concat_batches([last, batch])
+            t, a, b = (rows.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            new = np.ones(len(t), bool)
+            new[1:] = (t[1:] != t[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+            at = np.flatnonzero(new)
+            same = t[at][1:] == t[at][:-1]
+            keep = rows.column(5).to_numpy(zero_copy_only=False)[at].copy()
+            keep[1:] |= same
+            keep[:-1] |= same
+            if sent_on:
+                keep[0] = False
+            sent_on = bool(keep[-1]) or (sent_on and len(at) == 1)
+            last = rows.slice(int(at[-1]), 1)
+            yield rows.take(pa.array(at[keep]))
+
+    rows = docs.select("text").mapInArrow(emit, POSTINGS)
+    deal = F.when(F.col("direct"), F.xxhash64("token", "a", "b")).otherwise(F.col("token"))
+    few = slices <= int(spark.conf.get("spark.sql.shuffle.partitions"))  # then Spark's own number, which it lowers as it sees fit
+    dealt = rows.repartition(deal) if few else rows.repartition(slices, deal)
+    return dealt.sortWithinPartitions("token", "a", "b").mapInArrow(met, POSTINGS).select("token", _class(), "n", "l")
 
 
 def _possible(postings: DataFrame) -> DataFrame:
@@ -358,17 +339,19 @@ def links(sets: list[np.ndarray], percent: int, other: list[np.ndarray] | None =
     owner, column = owner[order], column[order]
     a, b = (slice(0, len(sets)), slice(0, len(sets))) if other is None else (slice(0, len(sets)), slice(len(sets), len(everything)))
     both = np.zeros((a.stop - a.start, b.stop - b.start), np.float32)
-    total, width = (int(column[-1]) + 1 if len(column) else 0), max(256, (1 << 24) // len(everything))
+    total, width = (int(column[-1]) + 1 if len(column) else 0), max(256, (1 << 22) // len(everything))
     for lo in range(0, total, width):
         i, j = np.searchsorted(column, [lo, lo + width])
         m = np.zeros((len(everything), min(width, total - lo)), np.float32)
         m[owner[i:j], column[i:j] - lo] = 1
         both += m[a] @ m[b].T
-    union = sizes[a][:, None] + sizes[b][None, :] - both
-    hit = both * 100 >= percent * union
-    if other is None:
-        hit = np.triu(hit, 1)
-    return np.argwhere(hit)
+    found = []
+    for i in range(0, len(both), 256):  # in whole numbers, some rows at a time
+        some = both[i : i + 256].astype(np.int64)
+        hit = some * 100 >= percent * (sizes[a][i : i + 256, None] + sizes[b][None, :] - some)
+        found.append(np.argwhere(hit) + [i, 0])
+    pairs = np.concatenate(found)
+    return pairs if other is not None else pairs[pairs[:, 0] < pairs[:, 1]]
 
 
 def _lowest(n: int, pairs: np.ndarray) -> np.ndarray:
@@ -406,9 +389,36 @@ def _join_blocks(members: DataFrame, percent: int) -> DataFrame:
     return blocks.select("g").mapInArrow(compute, "a long, b long, ma long, mb long").select(_class(), F.struct(F.col("ma").alias("a"), F.col("mb").alias("b")).alias("m"))
 
 
-def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(u, root) for every node of ``edges`` (u, v): alternating large and small stars, in the cluster."""
+def _settle(e: DataFrame) -> DataFrame:
+    """(u, root) of a table of at most ``SMALL`` edges, in one task."""
+    kind = e.schema["u"].dataType
+
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = [b for b in batches if b.num_rows]
+        if not table:
+            return
+        edges = pa.Table.from_batches(table).to_pydict()
+        name = (lambda x: tuple(x.values())) if isinstance(kind, T.StructType) else (lambda x: x)
+        of = {name(x): x for c in ("u", "v") for x in edges[c]}
+        nodes = sorted(of)
+        place = {x: k for k, x in enumerate(nodes)}
+        root = _lowest(len(nodes), np.array([[place[name(u)], place[name(v)]] for u, v in zip(edges["u"], edges["v"])]))
+        rows = [(of[x], of[nodes[r]]) for x, r in zip(nodes, root.tolist()) if nodes[r] != x]
+        type_ = table[0].schema.field("u").type
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], type_) for k in (0, 1)], ["u", "root"])
+
+    return e.coalesce(1).mapInArrow(compute, T.StructType([T.StructField("u", kind), T.StructField("root", kind)]))
+
+
+def connected_components(edges: DataFrame, most_rounds: int = 60, small: int = SMALL) -> DataFrame:
+    """(u, root) for every node of ``edges`` (u, v) but the roots: alternating large and small stars, in the cluster.
+
+    The rounds grow with the logarithm of the nodes; a graph that ``most_rounds`` do not settle is an error.
+    At most ``small`` edges (counted first) are settled in one task, with the same result.
+    """
     e = materialise(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u != v").distinct(), "stars")
+    if e.count() <= small:
+        return _settle(e)
     state = None
     for _ in range(most_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -425,21 +435,23 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if state == (now.n, now.s):
             break
         state = (now.n, now.s)
+    else:
+        raise RuntimeError(f"connected components did not settle in {most_rounds} rounds")
     return e.select("u", F.col("v").alias("root"))
 
 
-def _merge(postings: DataFrame, sets: DataFrame, percent: int, rounds: int = 2) -> tuple[DataFrame, DataFrame]:
+def _merge(postings: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """((c, m): classes joined inside blocks, (c, u): each class's block of the first round).
 
-    A class's home is its token with the largest group. A second round joins, by one class each, what the
-    blocks of a large group have joined.
+    A class's home is its token with the largest group. Further rounds join, by one class each, what the
+    blocks of a large group have joined, as long as a quarter of the classes in large groups goes.
     """
     mapping = units = None
     current = postings
-    for _ in range(rounds):
+    while True:
         groups = current.groupBy("token").agg(F.count("*").alias("size"), F.sum("n").alias("tokens")).filter("size > 1")
         home = current.join(groups, "token").groupBy("c").agg(F.max(F.struct("size", "token", "tokens")).alias("h"))
-        salts = F.ceil(F.col("h.tokens") / F.lit(BLOCK_TOKENS))
+        salts = F.ceil(F.greatest(F.col("h.tokens") / F.lit(BLOCK_TOKENS), F.col("h.size") / F.lit(BLOCK_SETS)))
         members = home.select("c", F.col("h.token").alias("home"), F.pmod(F.xxhash64("c"), salts).alias("salt"), salts.alias("salts"))
         members = materialise(members, "ngram-members")
         step = materialise(_join_blocks(members.join(sets, "c"), percent).filter("c != m"), "ngram-merged")
@@ -448,10 +460,10 @@ def _merge(postings: DataFrame, sets: DataFrame, percent: int, rounds: int = 2)
         else:
             after = step.select(F.col("c").alias("m"), F.col("m").alias("m2"))
             mapping = materialise(mapping.join(after, "m", "left").select("c", F.coalesce("m2", "m").alias("m")).unionByName(step), "ngram-mapping")
-        if not members.filter("salts > 1").limit(1).count():
-            break
+        large = members.filter("salts > 1").count()
+        if not large or step.count() * 4 < large:
+            return mapping, units
         current = current.join(step.select("c"), "c", "left_anti")
-    return mapping, units
 
 
 def _remaining_edges(postings: DataFrame, sets: DataFrame, mapping: DataFrame, units: DataFrame, percent: int) -> DataFrame:
@@ -463,6 +475,9 @@ def _remaining_edges(postings: DataFrame, sets: DataFrame, mapping: DataFrame, u
     placed = units.join(mapping, "c", "left").withColumn("m", F.coalesce("m", "c"))
     t = postings.join(placed, "c").groupBy("token", "u").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("l").alias("l"), F.min("m").alias("low"), F.max("m").alias("high"))
     t = materialise(t, "ngram-groups")
+    # a token whose classes are joined already, such as that of one large group of near copies, pairs no blocks
+    apart = t.groupBy("token").agg(F.min("low").alias("lowest"), F.max("high").alias("highest")).filter("lowest != highest").select("token")
+    t = t.join(apart, "token")
     x, y = (t.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("u", "least", "most", "l", "low", "high")]) for s in "xy")
     fits = (F.col("most_x") * 100 >= F.col("least_y") * percent) & (F.col("most_y") * 100 >= F.col("least_x") * percent)
     joined = (F.col("low_x") == F.col("high_x")) & (F.col("low_y") == F.col("high_y")) & (F.col("low_x") == F.col("low_y"))
@@ -500,10 +515,10 @@ def jaccard_components(docs: DataFrame, *, words: int = 5, percent: int = 80, po
     rows = counted.filter("slice IS NULL").select("doc_id", "n", F.when(F.col("n") > 0, _class()).alias("c"))
     tokens_of = _token_counts(counted)
     classes = rows.filter("c IS NOT NULL").groupBy("c").agg(F.min("doc_id").alias("low"), F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("k"))
-    expected = rows.agg(F.sum(F.col("n") * (100 - percent) / 100 + 2)).first()[0] or 0
-    slices = max(1, int(expected) // postings_per_slice)
-    postings = materialise(_shared_postings(docs, words, percent, tokens_of, slices), "ngram-postings")
-    postings = materialise(_possible(postings), "ngram-possible")
+    most = rows.agg(F.sum(F.least(F.col("n"), F.col("n") * (100 - percent) / 100 + MOST_MATCHES))).first()[0] or 0
+    met = materialise(_shared_postings(docs, words, percent, tokens_of, -(-int(most) // postings_per_slice)), "ngram-postings")
+    postings = materialise(_possible(met), "ngram-possible")
+    release(met)
     wanted = classes.join(postings.select("c").distinct(), "c").select("k", "c")
     sets = materialise(_whole_sets(docs, wanted, words), "ngram-sets")
     mapping, units = _merge(postings, sets, percent)
