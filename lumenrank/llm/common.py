@@ -17,8 +17,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the cluster names none (tests)."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/")
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset a local folder does for a local master alone; on a cluster it is an error.
+    """
+    if path := spark.conf.get("spark.checkpoint.dir", None):
+        return path.rstrip("/")
+    master = spark.conf.get("spark.master", "")
+    if master == "local" or master.startswith("local["):
+        return "/tmp/checkpoints"
+    raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -57,6 +65,22 @@ def release(*dfs: DataFrame) -> None:
             drop_path(df.sparkSession, path)
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for files that tasks write themselves; it lives until the interpreter ends."""
+    path = scratch_path(spark, name)
+    atexit.register(drop_path, spark, path)
+    return path
+
+
+def row_digest(df: DataFrame) -> tuple[Column, Column]:
+    """128 bits of every column of a row, whatever its type; null is told from any value."""
+    parts = []
+    for f in df.schema.fields:
+        c, kind = F.col(f"`{f.name}`"), f.dataType.simpleString()
+        parts += [F.to_json(F.struct(c)) if "map<" in kind or "variant" in kind else c, c.isNull()]
+    return F.xxhash64(*parts), F.xxhash64(F.lit("second half"), *parts)
+
+
 def word_count(text: Column) -> Column:
     """Words of ``text``; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -1,18 +1,22 @@
-"""Line deduplication by content-defined chunks of lines.
+"""Line deduplication by content-defined chunks of lines, and of repeated passages on any lines.
 
 A rolling hash over the last ``window`` line hashes ends a chunk where it meets a mask, so an inserted
 line moves no boundary beyond its own neighbourhood. Multi-line chunks that occur more than once in
-the corpus stay at their first place (smallest doc_id, then position) and go everywhere else, once
-their bytes were found equal to that first one's.
+the corpus stay at their first place (smallest doc_id, then row and position) and go everywhere else,
+once their bytes were found equal to that first one's. Such chunks cannot hold a passage on one line or
+a few, among lines of the document's own: every run of ``words`` words that stands earlier in the
+corpus goes too. Both are found on the texts as given, in the same two readings of them, and cut at
+once; what goes always has an earlier copy, and the earliest of all stays.
+
+A bitmap of fixed size tells which hashes occur again, so only what may be repeated is shuffled. Keys
+with more than a thousandth of all occurrences (fewer than a thousand keys) are dealt by salt.
 
 Defined results: a null text stays null and an empty one empty; a text that loses all its lines
 becomes empty, and its row stays; chunks of one line, of white space only, or of fewer than
-``min_words`` words are never removed; rows equal in all columns count as one row, so none loses
-anything to the other; an empty table gives an empty result; other columns pass through, and columns
-with the names of the added ones are replaced.
-
-``dedup_passages`` then removes what such chunks cannot hold: repeated passages on one line or a few,
-among lines of the document's own.
+``min_words`` words are never removed; rows are told apart by 128 bits of all their columns, and rows
+equal in all of them count as one row, so none loses anything to the other; an empty table gives an
+empty result; other columns pass through, whatever their names, and columns with the names of the
+added ones are replaced.
 """
 
 from __future__ import annotations
@@ -22,16 +26,18 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute  # noqa: F401
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lumenrank.llm import wordhash
-from lumenrank.llm.common import materialise
+from lumenrank.llm.common import materialise, row_digest
 
 WINDOW, MASK, MOST = 2, 3, 16  # lines of the rolling hash; one boundary in MASK + 1; lines of a chunk at most
 PASSAGE, BITS = 51, 26  # words of a passage at least; log2 of the bitmap of shingles that occur again
-CHUNKS = "row long, doc_id long, chunk int, first_line int, n_lines int, h1 long, h2 long, text binary"
+CHUNK, RUN = 0, 1  # kinds of what is looked for: chunks of lines, runs of words
+FOUND = "kind int, r1 long, r2 long, doc_id long, at int, h1 long, h2 long, body binary"
+SALTS = 64
 
 
 def line_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -84,74 +90,6 @@ def _chunks(data: np.ndarray, offsets: np.ndarray):
     return doc, number, a - firsts[doc], b - a, start[a], stop[b - 1]
 
 
-def line_chunks(docs: DataFrame, min_words: int) -> DataFrame:
-    """The multi-line chunks of numbered documents with at least ``min_words`` words."""
-
-    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row, data, offsets in wordhash.blocks(batch.column(2)):
-                doc, number, line, lines, start, stop = _chunks(data, offsets)
-                ws, _, _ = wordhash.spans(data, offsets, wordhash.ASCII_SPACE)
-                words = np.searchsorted(ws, stop) - np.searchsorted(ws, start)
-                keep = np.flatnonzero((lines >= 2) & (words >= min_words))
-                start, stop = start[keep], stop[keep]
-                h1 = wordhash.hashes(data, start, stop) if len(data) else np.zeros(0, np.uint64)
-                h2 = wordhash.hashes(data[::-1], len(data) - stop, len(data) - start) if len(data) else np.zeros(0, np.uint64)
-                raw = data.tobytes()
-                at = pa.array(doc[keep] + row)
-                columns = [batch.column(0).take(at), batch.column(1).take(at), pa.array(number[keep], pa.int32()), pa.array(line[keep], pa.int32()), pa.array(lines[keep], pa.int32()), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array([raw[i:j] for i, j in zip(start.tolist(), stop.tolist())], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "chunk", "first_line", "n_lines", "h1", "h2", "text"])
-
-    return docs.select("row", "doc_id", "text").mapInArrow(compute, CHUNKS)
-
-
-def repeated_chunks(numbered: DataFrame, min_words: int) -> DataFrame:
-    """row, chunk of every later occurrence of a chunk whose bytes equal its first occurrence's."""
-    chunks = line_chunks(numbered, min_words)
-    place = F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("d"), F.col("row").alias("r"), F.col("chunk").alias("c"))
-    # counted by hash on narrow rows, combined before the shuffle; only repeated chunks go on with their bytes
-    first = chunks.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(place).alias("first")).filter("n > 1")
-    occurrences = materialise(chunks.join(first, ["h1", "h2"]).select("h1", "h2", "row", "chunk", "text", (place == F.col("first")).alias("is_first")), "line-repeats")
-    kept = occurrences.filter("is_first").select("h1", "h2", F.col("text").alias("kept"))
-    return occurrences.filter("NOT is_first").join(kept, ["h1", "h2"]).filter(F.col("text") == F.col("kept")).select("row", "chunk")
-
-
-def dedup_lines(docs: DataFrame, *, min_words: int = 10) -> DataFrame:
-    """``docs`` with its repeated multi-line chunks removed, and n_lines, removed_lines, removed_chunks added."""
-    added = ("n_lines", "removed_lines", "removed_chunks")
-    docs = docs.select(*[c for c in docs.columns if c not in added])
-    # the row number is a hash of the whole row with the id: stable however often the input is read again
-    number = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c, t in docs.dtypes if t in ("bigint", "int", "string")])
-    key = docs.withColumn("_row", number)
-    removed = repeated_chunks(key.select(F.col("_row").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text"), min_words)
-    per_row = removed.distinct().groupBy(F.col("row").alias("_r")).agg(F.collect_list("chunk").alias("_gone"))
-    joined = key.join(per_row, F.col("_row") == F.col("_r"), "left").drop("_r", "_row")
-    columns = docs.columns
-
-    def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = columns.index("text")
-        for batch in batches:
-            texts, gone = batch.column(at), batch.column(len(columns)).to_pylist()
-            out, lines, cut, dropped = texts.to_pylist(), [], [], []
-            for row, data, offsets in wordhash.blocks(texts):
-                doc, number, line, n, start, stop = _chunks(data, offsets)
-                ends = np.searchsorted(doc, np.arange(len(offsets)))
-                raw = data.tobytes()
-                for d in range(len(offsets) - 1):
-                    bad = set(gone[row + d] or ())
-                    a, b = int(ends[d]), int(ends[d + 1])
-                    lines.append(int(n[a:b].sum()) if out[row + d] else 0)
-                    cut.append(sum(int(n[i]) for i in range(a, b) if int(number[i]) in bad))
-                    dropped.append(len(bad))
-                    if bad:
-                        out[row + d] = b"\n".join(raw[start[i] : stop[i]] for i in range(a, b) if int(number[i]) not in bad).decode("utf-8", "replace")
-            arrays = [pa.array(out, pa.string()) if k == at else batch.column(k) for k in range(len(columns))]
-            yield pa.RecordBatch.from_arrays([*arrays, *(pa.array(x, pa.int64()) for x in (lines, cut, dropped))], [*columns, *added])
-
-    full = T.StructType([*docs.schema.fields, *(T.StructField(name, T.LongType()) for name in added)])
-    return joined.select(*columns, "_gone").mapInArrow(rebuild, full)
-
-
 def sliding(f: np.ufunc, x: np.ndarray, width: int) -> np.ndarray:
     """``f`` (minimum or maximum) over every run of ``width`` values, by doubling."""
     size = 1
@@ -168,63 +106,135 @@ def passage_windows(data: np.ndarray, offsets: np.ndarray, words: int):
     if len(starts) < words:
         return starts, ends, firsts, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     text = np.repeat(np.arange(len(offsets) - 1), np.diff(firsts))
-    h = np.maximum(wordhash.hashes(data, starts[: len(starts) - shingle + 1], ends[shingle - 1 :]), np.uint64(1))
+    h = np.maximum(wordhash.windows(wordhash.hashes(data, starts, ends), shingle), np.uint64(1))
     least = sliding(np.minimum, h, words - shingle + 1)
     return starts, ends, firsts, np.where(text[: len(least)] == text[words - 1 :], least, np.uint64(0)), h
 
 
-def repeated_passages(numbered: DataFrame, words: int) -> DataFrame:
-    """row, start (word) of every later occurrence of a run of ``words`` words."""
-    spark = numbered.sparkSession
+def large_chunks(data: np.ndarray, offsets: np.ndarray, min_words: int):
+    """Text, number, start and end byte, and hash of the chunks of two lines and ``min_words`` words at least."""
+    doc, number, _, lines, start, stop = _chunks(data, offsets)
+    ws, _, _ = wordhash.spans(data, offsets, wordhash.ASCII_SPACE)
+    keep = np.flatnonzero((lines >= 2) & (np.searchsorted(ws, stop) - np.searchsorted(ws, start) >= min_words))
+    h = wordhash.hashes(data, start[keep], stop[keep]) if len(keep) else np.zeros(0, np.uint64)
+    return doc[keep], number[keep], start[keep], stop[keep], h
 
-    def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _digests(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """128 bits of BLAKE2 of each span, as two columns."""
+    joined = b"".join(blake2b(raw[i:j], digest_size=16).digest() for i, j in zip(starts.tolist(), ends.tolist()))
+    return np.frombuffer(joined, "<i8").reshape(-1, 2)
+
+
+def _again(texts: DataFrame, min_words: int | None, words: int | None) -> dict[int, np.ndarray]:
+    """Per kind a bitmap of 8 MB: which ranges of hash space hold a chunk, or a run's least shingle, that occurs again."""
+
+    def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, data, offsets in wordhash.blocks(batch.column(0)):
-                *_, least, h = passage_windows(data, offsets, words)
-                pad = np.zeros(len(h) - len(least), np.uint64)
-                chosen = sliding(np.maximum, np.concatenate([pad, least, pad]), len(pad) + 1) == h if len(h) else np.zeros(0, bool)
-                yield pa.RecordBatch.from_arrays([pa.array(h[chosen].view(np.int64))], ["h"])
-
-    # equal runs have equal least shingles, so a run is met again only if that one is: a bitmap of 8 MB says which are
-    again = numbered.select("text").mapInArrow(anchors, "h long").groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
+                found = []
+                if min_words is not None:
+                    found.append((CHUNK, large_chunks(data, offsets, min_words)[-1]))
+                if words is not None:
+                    *_, least, h = passage_windows(data, offsets, words)
+                    if len(h):
+                        pad = np.zeros(len(h) - len(least), np.uint64)
+                        found.append((RUN, h[sliding(np.maximum, np.concatenate([pad, least, pad]), len(pad) + 1) == h]))
+                for kind, h in found:
+                    value, n = np.unique(h, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), kind, np.int32)), pa.array(value.view(np.int64)), pa.array(n)], ["kind", "h", "n"])
+
+    again = texts.mapInArrow(signatures, "kind int, h long, n long").groupBy("kind", "h").agg(F.sum("n").alias("n")).filter("n > 1")
     bit = F.shiftrightunsigned("h", 64 - BITS) + 1
-    parts = again.groupBy(F.bitmap_bucket_number(bit).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).collect()
-    bitmap = np.zeros((1 << BITS) // 8, np.uint8)
+    parts = again.groupBy("kind", F.bitmap_bucket_number(bit).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).collect()
+    out = {k: np.zeros((1 << BITS) // 8, np.uint8) for k in (CHUNK, RUN)}
     for p in parts:
-        bitmap[(p.k - 1) * 4096 :][: len(p.bits)] = np.frombuffer(p.bits, np.uint8)
-    bitmap = spark.sparkContext.broadcast(bitmap)
+        out[p.kind][(p.k - 1) * 4096 :][: len(p.bits)] = np.frombuffer(p.bits, np.uint8)
+    return out
 
-    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = bitmap.value
+
+def _is_set(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
+    at = h >> np.uint64(64 - BITS)
+    return (bitmap[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
+
+
+def _occurrences(rows: DataFrame, again: dict[int, np.ndarray], min_words: int | None, words: int | None) -> DataFrame:
+    """Every chunk and run that may be repeated: its row and place, a digest, and a chunk's bytes."""
+    bitmaps = rows.sparkSession.sparkContext.broadcast(again)
+    names = ["kind", "r1", "r2", "doc_id", "at", "h1", "h2", "body"]
+
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = bitmaps.value
         for batch in batches:
-            for row, data, offsets in wordhash.blocks(batch.column(2)):
-                starts, ends, firsts, least, _ = passage_windows(data, offsets, words)
-                at = least >> np.uint64(64 - BITS)
-                found = np.flatnonzero((least > 0) & ((bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0))
-                raw = data.tobytes()
-                for k in range(0, len(found), 1 << 16):
-                    at = found[k : k + (1 << 16)]
-                    digest = np.frombuffer(b"".join(blake2b(raw[i:j], digest_size=16).digest() for i, j in zip(starts[at].tolist(), ends[at + words - 1].tolist())), "<i8").reshape(-1, 2)
-                    doc = np.searchsorted(firsts, at, side="right") - 1
-                    take = pa.array(doc + row)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array((at - firsts[doc]).astype(np.int32)), pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy())], ["row", "doc_id", "start", "h1", "h2"])
 
-    found = numbered.select("row", "doc_id", "text").mapInArrow(runs, "row long, doc_id long, start int, h1 long, h2 long")
-    order = Window.partitionBy("h1", "h2").orderBy(F.col("doc_id").asc_nulls_first(), "row", "start")
-    first = found.withColumn("_f", F.first(F.struct("row", "start")).over(order))
-    return first.filter((F.col("row") != F.col("_f.row")) | (F.col("start") >= F.col("_f.start") + words)).select("row", "start")
+            def rows_of(kind: int, row: np.ndarray, at: np.ndarray, digest: np.ndarray, body: list[bytes] | None) -> pa.RecordBatch:
+                take, n = pa.array(row), len(row)
+                bodies = pa.array(body, pa.binary()) if body is not None else pa.nulls(n, pa.binary())
+                columns = [batch.column(k).take(take) for k in range(3)]
+                return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), *columns, pa.array(at.astype(np.int32)), pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy()), bodies], names)
+
+            for row, data, offsets in wordhash.blocks(batch.column(3)):
+                raw = data.tobytes()
+                if min_words is not None:
+                    doc, number, start, stop, h = large_chunks(data, offsets, min_words)
+                    at = np.flatnonzero(_is_set(known[CHUNK], h))
+                    if len(at):
+                        start, stop = start[at], stop[at]
+                        yield rows_of(CHUNK, doc[at] + row, number[at], _digests(raw, start, stop), [raw[i:j] for i, j in zip(start.tolist(), stop.tolist())])
+                if words is not None:
+                    starts, ends, firsts, least, _ = passage_windows(data, offsets, words)
+                    found = np.flatnonzero((least > 0) & _is_set(known[RUN], least))
+                    for k in range(0, len(found), 1 << 16):
+                        at = found[k : k + (1 << 16)]
+                        doc = np.searchsorted(firsts, at, side="right") - 1
+                        yield rows_of(RUN, doc + row, at - firsts[doc], _digests(raw, starts[at], ends[at + words - 1]), None)
+
+    return rows.mapInArrow(compute, FOUND)
+
+
+def repeats(rows: DataFrame, *, min_words: int | None, words: int | None) -> DataFrame:
+    """r1, r2, gone of the rows (r1, r2, doc_id, text) that lose something: chunk c as -1 - c, the run from word w on as w."""
+    found = materialise(_occurrences(rows, _again(rows.select("text"), min_words, words), min_words, words), "repeat-places")
+    place = F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"), "r1", "r2", "at", "body")
+    first = found.groupBy("kind", "h1", "h2").agg(F.count("*").alias("n"), F.min(place).alias("first")).filter("n > 1")
+    first = materialise(first, "repeat-firsts")
+    total = first.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(first.filter(F.col("n") * 1000 > total).select("kind", "h1", "h2", F.lit(True).alias("hot")))  # fewer than 1000 rows
+    salt: Column = F.when(F.col("hot"), F.pmod(F.xxhash64("r1", "r2", "at"), F.lit(SALTS))).otherwise(0)
+    salts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    keys = ["kind", "h1", "h2"]
+    left = found.join(hot, keys, "left").withColumn("salt", salt.cast("int")).drop("hot", "doc_id")
+    right = first.select(*keys, "first").join(hot, keys, "left").withColumn("salt", F.explode(salts)).drop("hot")
+    both = left.join(right, [*keys, "salt"])
+    other = (F.col("r1") != F.col("first.r1")) | (F.col("r2") != F.col("first.r2"))
+    chunk = (F.col("kind") == CHUNK) & (other | (F.col("at") != F.col("first.at"))) & (F.col("body") == F.col("first.body"))
+    run = (F.col("kind") == RUN) & (other | (F.col("at") >= F.col("first.at") + F.lit(words or 0)))
+    gone = F.when(F.col("kind") == CHUNK, -1 - F.col("at")).otherwise(F.col("at"))
+    return both.filter(chunk | run).groupBy("r1", "r2").agg(F.collect_set(gone).alias("gone"))
 
 
 def cut_words(text: bytes, starts: list[int], words: int) -> tuple[bytes, int]:
-    """``text`` without the runs of ``words`` words from ``starts`` on, and the number of words gone.
+    """``text`` without the runs of ``words`` words from ``starts`` on, and the number of words gone."""
+    a, _, _ = wordhash.spans(np.frombuffer(text, np.uint8), np.array([0, len(text)]), wordhash.ASCII_SPACE)
+    return cut_marked(text, marked(len(a), starts, words))
+
+
+def marked(n: int, starts: list[int], words: int) -> np.ndarray:
+    """Which of ``n`` words lie in the runs of ``words`` words from ``starts`` on."""
+    step = np.zeros(n + 1, np.int64)
+    np.add.at(step, np.array(starts, np.int64), 1)
+    np.add.at(step, np.array(starts, np.int64) + words, -1)
+    return np.cumsum(step)[:-1] > 0
+
+
+def cut_marked(text: bytes, gone: np.ndarray) -> tuple[bytes, int]:
+    """``text`` without its marked words, and their number.
 
     Of the white space on both sides of a cut one stays: the later one if only it has a newline.
     """
+    if not gone.any():
+        return text, 0
     a, b, _ = wordhash.spans(np.frombuffer(text, np.uint8), np.array([0, len(text)]), wordhash.ASCII_SPACE)
-    step = np.zeros(len(a) + 1, np.int64)
-    np.add.at(step, np.array(starts), 1)
-    np.add.at(step, np.array(starts) + words, -1)
-    gone = np.cumsum(step)[:-1] > 0
     if gone.all():
         return b"", len(a)
     edge = np.diff(np.concatenate([[0], gone.astype(np.int8), [0]]))
@@ -238,31 +248,66 @@ def cut_words(text: bytes, starts: list[int], words: int) -> tuple[bytes, int]:
     return b"".join([*out, text[at:]]), int(gone.sum())
 
 
-def dedup_passages(docs: DataFrame, *, words: int = PASSAGE) -> DataFrame:
-    """``docs`` without the passages of ``words`` words or more that stand earlier in the corpus, whatever their lines; removed_words added.
-
-    A run of ``words`` words with its white space stays where it comes first (smallest doc_id, then row
-    and position) and goes everywhere else, except where it overlaps that first place; runs side by side
-    join, so a passage goes up to its true edges. Runs are equal if 128-bit BLAKE2 digests of their bytes are.
+def without(text: bytes, chunks: set[int], runs: list[int], words: int) -> tuple[bytes, int, int]:
+    """``text`` without these chunks and runs; the lines, and the words beyond them, that went."""
+    data, offsets = np.frombuffer(text, np.uint8), np.array([0, len(text)])
+    starts, _, _ = wordhash.spans(data, offsets, wordhash.ASCII_SPACE)
+    mark, lines = marked(len(starts), runs, words), 0
+    if chunks:
+        _, number, _, n, start, stop = _chunks(data, offsets)
+        stay = ~np.isin(number, list(chunks))
+        lines = int(n[~stay].sum())
+        mark = mark[stay[np.searchsorted(stop, starts, side="right")]]  # the words of a chunk are those before its end
+        text = b"\n".join(text[i:j] for i, j in zip(start[stay].tolist(), stop[stay].tolist()))
+    text, cut = cut_marked(text, mark)
+    return text, lines, cut
+
+
+def dedup_repeats(docs: DataFrame, *, min_words: int | None = 10, words: int | None = PASSAGE) -> DataFrame:
+    """``docs`` without its repeated chunks of lines (of ``min_words`` words or more) and repeated runs of ``words`` words.
+
+    Adds n_lines, removed_lines and removed_chunks, and removed_words (those in runs beyond removed chunks).
+    None for ``min_words`` or ``words`` leaves out that half and its columns. A run with its white space
+    stays where it comes first (smallest doc_id, then row and position) and goes everywhere else, except
+    where it overlaps that first place; runs side by side join, so a passage goes up to its true edges.
+    Runs are equal if 128-bit BLAKE2 digests of their bytes are.
     """
-    docs = materialise(docs.select(*[c for c in docs.columns if c != "removed_words"]), "passages")
-    number = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c, t in docs.dtypes if t in ("bigint", "int", "string")])
-    key = docs.withColumn("_row", number)
-    again = repeated_passages(key.select(F.col("_row").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text"), words)
-    per_row = again.distinct().groupBy(F.col("row").alias("_r")).agg(F.collect_list("start").alias("_gone"))
-    joined = key.join(per_row, F.col("_row") == F.col("_r"), "left").drop("_r", "_row")
-    columns = docs.columns
-
-    def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = columns.index("text")
-        for batch in batches:
-            out, cut = batch.column(at).to_pylist(), [0] * batch.num_rows
-            for k, gone in enumerate(batch.column(len(columns)).to_pylist()):
-                if gone:
-                    kept, cut[k] = cut_words(out[k].encode(), gone, words)
-                    out[k] = kept.decode()
-            arrays = [pa.array(out, pa.string()) if k == at else batch.column(k) for k in range(len(columns))]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(cut, pa.int64())], [*columns, "removed_words"])
-
-    full = T.StructType([*docs.schema.fields, T.StructField("removed_words", T.LongType())])
-    return joined.select(*columns, "_gone").mapInArrow(rebuild, full)
+    added = [*(("n_lines", "removed_lines", "removed_chunks") if min_words is not None else ()), *(("removed_words",) if words is not None else ())]
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in added])
+    r1, r2 = row_digest(docs)
+    key = docs.select(F.struct("*").alias("d"), r1.alias("r1"), r2.alias("r2"))
+    rows = key.select("r1", "r2", F.col("d.doc_id").cast("long").alias("doc_id"), F.col("d.text").alias("text"))
+    joined = key.join(repeats(rows, min_words=min_words, words=words), ["r1", "r2"], "left")
+
+    @F.arrow_udf("text string, n_lines long, removed_lines long, removed_chunks long, removed_words long")
+    def rebuilt(texts: pa.Array, gone: pa.Array) -> pa.Array:
+        counts = np.zeros((4, len(texts)), np.int64)
+        row = 0
+        for row, data, offsets in wordhash.blocks(texts):
+            ends = np.flatnonzero(data == 0x0A)
+            counts[0, row : row + len(offsets) - 1] = np.searchsorted(ends, offsets[1:]) - np.searchsorted(ends, offsets[:-1]) + (offsets[1:] > offsets[:-1])
+        changed, at = [], np.flatnonzero(gone.is_valid().to_numpy(zero_copy_only=False)).tolist()
+        for k in at:
+            numbers = gone[k].as_py()
+            chunks = {-1 - x for x in numbers if x < 0}
+            text, counts[1, k], counts[3, k] = without(texts[k].as_py().encode(), chunks, [x for x in numbers if x >= 0], words or 0)
+            counts[2, k] = len(chunks)
+            changed.append(text.decode())
+        if at:
+            mask = np.zeros(len(texts), bool)
+            mask[at] = True
+            texts = pa.compute.replace_with_mask(texts, pa.array(mask), pa.array(changed, texts.type))
+        return pa.StructArray.from_arrays([texts, *map(pa.array, counts)], ["text", "n_lines", "removed_lines", "removed_chunks", "removed_words"])
+
+    out = joined.select("d", rebuilt("d.text", "gone").alias("o"))
+    return out.select(*[F.col("o.text").alias("text") if c == "text" else F.col(f"d.`{c}`") for c in docs.columns], *[f"o.{c}" for c in added])
+
+
+def dedup_lines(docs: DataFrame, *, min_words: int = 10) -> DataFrame:
+    """``docs`` with its repeated multi-line chunks removed, and n_lines, removed_lines, removed_chunks added."""
+    return dedup_repeats(docs, min_words=min_words, words=None)
+
+
+def dedup_passages(docs: DataFrame, *, words: int = PASSAGE) -> DataFrame:
+    """``docs`` without the passages of ``words`` words or more that stand earlier in the corpus, whatever their lines; removed_words added."""
+    return dedup_repeats(docs, min_words=None, words=words)

@@ -30,7 +30,7 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = linededup.dedup_passages(linededup.dedup_lines(table(spark, sf_dir, "documents")))
+    kept = linededup.dedup_repeats(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_lines", "removed_lines", "removed_chunks", "removed_words", F.length("text").cast("long").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
 
 
