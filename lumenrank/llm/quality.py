@@ -197,14 +197,14 @@ def classify(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.3) -> D
 def keep_documents(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.3) -> DataFrame:
     """The rows of ``docs`` that the classifier accepts, with all their columns.
 
-    Scores come from each row's own text, so no join by id is needed to filter.
+    Scores come from each row's own text (null: empty), so no join by id is needed to filter, and only texts
+    and verdicts pass between Spark and Python. Repeated rows stay or go together.
     """
     model = fit(materialise(document_statistics(docs), "quality-features"), labels)
 
-    def verdict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.schema.names.index("text")
-            keep = np.concatenate([model.score(statistics(data, offsets)) for _, data, offsets in wordhash.blocks(batch.column(at))] or [np.zeros(0)])
-            yield batch.filter(pa.array(np.round(keep, 9) >= threshold))
+    @F.arrow_udf("boolean")
+    def accepted(texts: pa.Array) -> pa.Array:
+        scores = [model.score(statistics(data, offsets)) for _, data, offsets in wordhash.blocks(texts)]
+        return pa.array(np.round(np.concatenate([np.zeros(0), *scores]), 9) >= threshold)
 
-    return docs.mapInArrow(verdict, docs.schema)
+    return docs.filter(accepted("text"))
