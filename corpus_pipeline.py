@@ -10,15 +10,23 @@ from lumenrank.llm.common import materialise, table
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quadratic discriminant accepts (score of 0.3 or more)."""
+    """Documents that the quadratic discriminant accepts (score of 0.3 or more).
+
+    A null text is scored as an empty one; repeated rows stay or go together; an empty table stays empty.
+    """
     return quality.keep_documents(docs, table(spark, sf_dir, "labels")).select(*docs.columns)
 
 
 def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the multi-line chunks and the passages of over 50 words that stand elsewhere before; every row stays."""
-    kept = linededup.dedup_passages(linededup.dedup_lines(docs))
-    length = F.when((F.col("removed_chunks") > 0) | (F.col("removed_words") > 0), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return kept.withColumn("n_chars", length).select(*docs.columns)
+    """Texts without the multi-line chunks and the passages of over 50 words that stand elsewhere before; every row stays.
+
+    Null texts stay null; rows equal in all columns count as one. ``n_chars``, where there is one, follows a changed text.
+    """
+    kept = linededup.dedup_repeats(docs)
+    if "n_chars" in docs.columns:
+        changed = (F.col("removed_chunks") > 0) | (F.col("removed_words") > 0)
+        kept = kept.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return kept.select(*docs.columns)
 
 
 def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
