@@ -8,8 +8,11 @@ a few, among lines of the document's own: every run of ``words`` words that stan
 corpus goes too. Both are found on the texts as given, in the same two readings of them, and cut at
 once; what goes always has an earlier copy, and the earliest of all stays.
 
-A bitmap of fixed size tells which hashes occur again, so only what may be repeated is shuffled. Keys
-with more than a thousandth of all occurrences (fewer than a thousand keys) are dealt by salt.
+The first reading counts hashes of whole texts, chunks and runs' least shingles. Bitmaps of fixed size
+tell the second which of them occur again, so only what may be repeated is shuffled, and which of the
+texts and chunks are surely not the first of theirs: those lose their words as wholes, and the runs
+inside them are not looked at one by one. Hot keys are dealt by salt; the hashes that tell a hot run
+have more than a thousandth of all repeated ones each, so they are fewer than a thousand.
 
 Defined results: a null text stays null and an empty one empty; a text that loses all its lines
 becomes empty, and its row stays; chunks of one line, of white space only, or of fewer than
@@ -27,17 +30,18 @@ from hashlib import blake2b
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenrank.llm import wordhash
-from lumenrank.llm.common import materialise, row_digest
+from lumenrank.llm.common import materialise, release, row_digest
 
 WINDOW, MASK, MOST = 2, 3, 16  # lines of the rolling hash; one boundary in MASK + 1; lines of a chunk at most
 PASSAGE, BITS = 51, 26  # words of a passage at least; log2 of the bitmap of shingles that occur again
-CHUNK, RUN = 0, 1  # kinds of what is looked for: chunks of lines, runs of words
-FOUND = "kind int, r1 long, r2 long, doc_id long, at int, h1 long, h2 long, body binary"
-SALTS = 64
+CHUNK, RUN, TEXT = 0, 1, 2  # kinds of what is looked for: chunks of lines, runs of words, whole texts
+FIRST = 10  # added to a kind: places that may be the first
+FOUND = "kind int, r1 long, r2 long, doc_id long, at int, h1 long, h2 long, hot boolean, body binary"
+SALTS, WHOLE = 64, -(1 << 31)
 
 
 def line_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -126,31 +130,52 @@ def _digests(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.frombuffer(joined, "<i8").reshape(-1, 2)
 
 
-def _again(texts: DataFrame, min_words: int | None, words: int | None) -> dict[int, np.ndarray]:
-    """Per kind a bitmap of 8 MB: which ranges of hash space hold a chunk, or a run's least shingle, that occurs again."""
+def _places(h: np.ndarray, doc_ids: np.ndarray) -> np.ndarray:
+    return wordhash.mix(h ^ wordhash.mix(doc_ids.view(np.uint64)))
+
+
+def _again(rows: DataFrame, min_words: int | None, words: int | None) -> tuple[dict[int, np.ndarray], np.ndarray]:
+    """Bitmaps of 8 MB each: which ranges of hash space hold something that occurs again, or its first place; and the hot shingles."""
 
     def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, data, offsets in wordhash.blocks(batch.column(0)):
-                found = []
+            doc_ids = batch.column(0).to_numpy(zero_copy_only=False)
+            for row, data, offsets in wordhash.blocks(batch.column(1)):
+                full = np.flatnonzero(np.diff(offsets) > 0)
+                found = [(TEXT, wordhash.hashes(data, offsets[full], offsets[full + 1]), full)]
                 if min_words is not None:
-                    found.append((CHUNK, large_chunks(data, offsets, min_words)[-1]))
+                    doc, _, _, _, h = large_chunks(data, offsets, min_words)
+                    found.append((CHUNK, h, doc))
                 if words is not None:
                     *_, least, h = passage_windows(data, offsets, words)
                     if len(h):
                         pad = np.zeros(len(h) - len(least), np.uint64)
-                        found.append((RUN, h[sliding(np.maximum, np.concatenate([pad, least, pad]), len(pad) + 1) == h]))
-                for kind, h in found:
-                    value, n = np.unique(h, return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), kind, np.int32)), pa.array(value.view(np.int64)), pa.array(n)], ["kind", "h", "n"])
-
-    again = texts.mapInArrow(signatures, "kind int, h long, n long").groupBy("kind", "h").agg(F.sum("n").alias("n")).filter("n > 1")
-    bit = F.shiftrightunsigned("h", 64 - BITS) + 1
-    parts = again.groupBy("kind", F.bitmap_bucket_number(bit).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).collect()
-    out = {k: np.zeros((1 << BITS) // 8, np.uint8) for k in (CHUNK, RUN)}
+                        found.append((RUN, h[sliding(np.maximum, np.concatenate([pad, least, pad]), len(pad) + 1) == h], None))
+                for kind, h, doc in found:
+                    place = pa.array(doc_ids[row + doc]) if doc is not None else pa.nulls(len(h), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), kind, np.int32)), pa.array(h.view(np.int64)), place], ["kind", "h", "doc_id"])
+
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kind, h, doc_id = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            first = np.flatnonzero(kind != RUN)
+            both = np.concatenate([h.view(np.uint64), _places(h[first].view(np.uint64), doc_id[first].astype(np.int64))]) >> np.uint64(64 - BITS)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([kind, kind[first] + np.int32(FIRST)])), pa.array(both.astype(np.int64))], ["kind", "bit"])
+
+    key = rows.select(F.coalesce("doc_id", F.lit(-(1 << 63))), "text")
+    again = key.mapInArrow(signatures, "kind int, h long, doc_id long").groupBy("kind", "h").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id")).filter("n > 1")
+    again = materialise(again, "repeat-hashes")
+    bit = F.col("bit") + 1
+    set_ = again.select("kind", "h", "doc_id").mapInArrow(bits, "kind int, bit long")
+    parts = set_.groupBy("kind", F.bitmap_bucket_number(bit).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).collect()
+    out = {k: np.zeros((1 << BITS) // 8, np.uint8) for k in (CHUNK, RUN, TEXT, CHUNK + FIRST, TEXT + FIRST)}
     for p in parts:
         out[p.kind][(p.k - 1) * 4096 :][: len(p.bits)] = np.frombuffer(p.bits, np.uint8)
-    return out
+    runs = again.filter(F.col("kind") == RUN)
+    total = runs.agg(F.sum("n")).first()[0] or 0
+    hot = runs.filter(F.col("n") * 1000 > total).select("h").collect()  # fewer than a thousand
+    release(again)
+    return out, np.sort(np.array([r.h for r in hot], np.int64)).view(np.uint64)
 
 
 def _is_set(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -158,59 +183,80 @@ def _is_set(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (bitmap[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
 
 
-def _occurrences(rows: DataFrame, again: dict[int, np.ndarray], min_words: int | None, words: int | None) -> DataFrame:
-    """Every chunk and run that may be repeated: its row and place, a digest, and a chunk's bytes."""
-    bitmaps = rows.sparkSession.sparkContext.broadcast(again)
-    names = ["kind", "r1", "r2", "doc_id", "at", "h1", "h2", "body"]
+def _occurrences(rows: DataFrame, min_words: int | None, words: int | None) -> DataFrame:
+    """Every text, chunk and run that may be repeated: its row and place, a digest, and a chunk's bytes."""
+    sent = rows.sparkSession.sparkContext.broadcast(_again(rows, min_words, words))
+    names = ["kind", "r1", "r2", "doc_id", "at", "h1", "h2", "hot", "body"]
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = bitmaps.value
+        known, hot = sent.value
         for batch in batches:
+            doc_ids = batch.column(2).fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)
 
-            def rows_of(kind: int, row: np.ndarray, at: np.ndarray, digest: np.ndarray, body: list[bytes] | None) -> pa.RecordBatch:
+            def rows_of(kind: int, row: np.ndarray, at: np.ndarray, digest: np.ndarray, warm: np.ndarray, body: list[bytes] | None = None) -> pa.RecordBatch:
                 take, n = pa.array(row), len(row)
                 bodies = pa.array(body, pa.binary()) if body is not None else pa.nulls(n, pa.binary())
                 columns = [batch.column(k).take(take) for k in range(3)]
-                return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), *columns, pa.array(at.astype(np.int32)), pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy()), bodies], names)
+                return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), *columns, pa.array(at.astype(np.int32)), pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy()), pa.array(warm), bodies], names)
+
+            def later(kind: int, h: np.ndarray, doc_id: np.ndarray) -> np.ndarray:
+                """Which repeated ones are surely not the first of theirs."""
+                return _is_set(known[kind], h) & ~_is_set(known[kind + FIRST], _places(h, doc_id))
 
             for row, data, offsets in wordhash.blocks(batch.column(3)):
-                raw = data.tobytes()
+                raw, ids = data.tobytes(), doc_ids[row : row + len(offsets) - 1]
+                whole = wordhash.hashes(data, offsets[:-1], offsets[1:])
+                copies = np.flatnonzero(_is_set(known[TEXT], whole) & (np.diff(offsets) > 0))
+                if len(copies):
+                    yield rows_of(TEXT, copies + row, np.zeros(len(copies)), _digests(raw, offsets[copies], offsets[copies + 1]), np.zeros(len(copies), bool))
+                gone = later(TEXT, whole, ids)
+                covered = np.zeros(len(data) + 1, np.int8)
                 if min_words is not None:
                     doc, number, start, stop, h = large_chunks(data, offsets, min_words)
-                    at = np.flatnonzero(_is_set(known[CHUNK], h))
+                    moot = later(CHUNK, h, ids[doc])
+                    covered[start[moot]] += 1
+                    covered[stop[moot]] -= 1
+                    at = np.flatnonzero(_is_set(known[CHUNK], h) & ~gone[doc])
                     if len(at):
                         start, stop = start[at], stop[at]
-                        yield rows_of(CHUNK, doc[at] + row, number[at], _digests(raw, start, stop), [raw[i:j] for i, j in zip(start.tolist(), stop.tolist())])
+                        yield rows_of(CHUNK, doc[at] + row, number[at], _digests(raw, start, stop), np.zeros(len(at), bool), [raw[i:j] for i, j in zip(start.tolist(), stop.tolist())])
                 if words is not None:
                     starts, ends, firsts, least, _ = passage_windows(data, offsets, words)
-                    found = np.flatnonzero((least > 0) & _is_set(known[RUN], least))
+                    open_ = np.concatenate([[0], np.cumsum(np.cumsum(covered[:-1], dtype=np.int8)[starts] == 0)])  # words that no later chunk covers
+                    found = np.flatnonzero((least > 0) & _is_set(known[RUN], least) & (open_[words:] > open_[:-words])[: len(least)]) if len(least) else []
+                    if len(found):
+                        doc = np.searchsorted(firsts, found, side="right") - 1
+                        found, doc = found[~gone[doc]], doc[~gone[doc]]
+                        warm = hot[np.minimum(np.searchsorted(hot, least[found]), len(hot) - 1)] == least[found] if len(hot) else np.zeros(len(found), bool)
                     for k in range(0, len(found), 1 << 16):
-                        at = found[k : k + (1 << 16)]
-                        doc = np.searchsorted(firsts, at, side="right") - 1
-                        yield rows_of(RUN, doc + row, at - firsts[doc], _digests(raw, starts[at], ends[at + words - 1]), None)
+                        at, of = found[k : k + (1 << 16)], doc[k : k + (1 << 16)]
+                        yield rows_of(RUN, of + row, at - firsts[of], _digests(raw, starts[at], ends[at + words - 1]), warm[k : k + (1 << 16)])
 
     return rows.mapInArrow(compute, FOUND)
 
 
 def repeats(rows: DataFrame, *, min_words: int | None, words: int | None) -> DataFrame:
-    """r1, r2, gone of the rows (r1, r2, doc_id, text) that lose something: chunk c as -1 - c, the run from word w on as w."""
-    found = materialise(_occurrences(rows, _again(rows.select("text"), min_words, words), min_words, words), "repeat-places")
+    """r1, r2, gone of the rows (r1, r2, doc_id, text) that lose something: chunk c as -1 - c, the run from word w on as w, the whole text as WHOLE."""
+    found = materialise(_occurrences(rows, min_words, words), "repeat-places")
+    runs = (F.col("kind") == RUN) & ~F.col("hot")
+    first = F.first(F.struct("r1", "r2", "at")).over(Window.partitionBy("h1", "h2").orderBy(F.col("doc_id").asc_nulls_first(), "r1", "r2", "at"))
+    plain = found.filter(runs).select("kind", "r1", "r2", "at", F.lit(None).cast("binary").alias("body"), first.alias("first"))
+    # what may be hot: the first of each combined before the shuffle, and met by salt
+    rest, keys = found.filter(~runs), ["kind", "h1", "h2"]
     place = F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"), "r1", "r2", "at", "body")
-    first = found.groupBy("kind", "h1", "h2").agg(F.count("*").alias("n"), F.min(place).alias("first")).filter("n > 1")
-    first = materialise(first, "repeat-firsts")
-    total = first.agg(F.sum("n")).first()[0] or 0
-    hot = F.broadcast(first.filter(F.col("n") * 1000 > total).select("kind", "h1", "h2", F.lit(True).alias("hot")))  # fewer than 1000 rows
-    salt: Column = F.when(F.col("hot"), F.pmod(F.xxhash64("r1", "r2", "at"), F.lit(SALTS))).otherwise(0)
-    salts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    keys = ["kind", "h1", "h2"]
-    left = found.join(hot, keys, "left").withColumn("salt", salt.cast("int")).drop("hot", "doc_id")
-    right = first.select(*keys, "first").join(hot, keys, "left").withColumn("salt", F.explode(salts)).drop("hot")
-    both = left.join(right, [*keys, "salt"])
+    firsts = materialise(rest.groupBy(*keys).agg(F.count("*").alias("n"), F.min(place).alias("first")).filter("n > 1"), "repeat-firsts")
+    total = firsts.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(firsts.filter(F.col("n") * 1000 > total).select(*keys, F.lit(True).alias("warm")))  # fewer than 1000 rows
+    salt: Column = F.when(F.col("warm"), F.pmod(F.xxhash64("r1", "r2", "at"), F.lit(SALTS))).otherwise(0)
+    salts = F.when(F.col("warm"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    left = rest.join(hot, keys, "left").withColumn("salt", salt.cast("int")).select(*keys, "salt", "r1", "r2", "at", "body")
+    right = firsts.select(*keys, "first").join(hot, keys, "left").select(*keys, "first", F.explode(salts).alias("salt"))
+    met = left.join(right, [*keys, "salt"]).filter((F.col("kind") != CHUNK) | (F.col("body") == F.col("first.body")))
+    met = plain.unionByName(met.select("kind", "r1", "r2", "at", "body", F.struct("first.r1", "first.r2", "first.at").alias("first")))
     other = (F.col("r1") != F.col("first.r1")) | (F.col("r2") != F.col("first.r2"))
-    chunk = (F.col("kind") == CHUNK) & (other | (F.col("at") != F.col("first.at"))) & (F.col("body") == F.col("first.body"))
-    run = (F.col("kind") == RUN) & (other | (F.col("at") >= F.col("first.at") + F.lit(words or 0)))
-    gone = F.when(F.col("kind") == CHUNK, -1 - F.col("at")).otherwise(F.col("at"))
-    return both.filter(chunk | run).groupBy("r1", "r2").agg(F.collect_set(gone).alias("gone"))
+    apart = F.when(F.col("kind") == CHUNK, F.col("at") != F.col("first.at")).when(F.col("kind") == RUN, F.col("at") >= F.col("first.at") + F.lit(words or 0)).otherwise(False)
+    gone = F.when(F.col("kind") == CHUNK, -1 - F.col("at")).when(F.col("kind") == TEXT, F.lit(WHOLE)).otherwise(F.col("at"))
+    return met.filter(other | apart).groupBy("r1", "r2").agg(F.collect_list(gone).alias("gone"))
 
 
 def cut_words(text: bytes, starts: list[int], words: int) -> tuple[bytes, int]:
@@ -248,19 +294,24 @@ def cut_marked(text: bytes, gone: np.ndarray) -> tuple[bytes, int]:
     return b"".join([*out, text[at:]]), int(gone.sum())
 
 
-def without(text: bytes, chunks: set[int], runs: list[int], words: int) -> tuple[bytes, int, int]:
-    """``text`` without these chunks and runs; the lines, and the words beyond them, that went."""
+def without(text: bytes, gone: list[int], min_words: int | None, words: int | None) -> tuple[bytes, int, int, int]:
+    """``text`` without the chunks and runs of ``gone``; the lines, the chunks, and the words beyond them, that went."""
     data, offsets = np.frombuffer(text, np.uint8), np.array([0, len(text)])
     starts, _, _ = wordhash.spans(data, offsets, wordhash.ASCII_SPACE)
-    mark, lines = marked(len(starts), runs, words), 0
+    if WHOLE in gone:  # a copy of a whole text: all its chunks and runs
+        chunks = set(large_chunks(data, offsets, min_words)[1].tolist()) if min_words is not None else set()
+        runs = range(len(starts) - words + 1) if words is not None else ()
+    else:
+        chunks, runs = {-1 - x for x in gone if x < 0}, [x for x in gone if x >= 0]
+    mark, lines = marked(len(starts), list(runs), words or 0), 0
     if chunks:
         _, number, _, n, start, stop = _chunks(data, offsets)
         stay = ~np.isin(number, list(chunks))
         lines = int(n[~stay].sum())
-        mark = mark[stay[np.searchsorted(stop, starts, side="right")]]  # the words of a chunk are those before its end
+        mark = mark[stay[np.searchsorted(stop, starts, side="right")]]  # a word's chunk is the first that ends behind it
         text = b"\n".join(text[i:j] for i, j in zip(start[stay].tolist(), stop[stay].tolist()))
     text, cut = cut_marked(text, mark)
-    return text, lines, cut
+    return text, lines, len(chunks), cut
 
 
 def dedup_repeats(docs: DataFrame, *, min_words: int | None = 10, words: int | None = PASSAGE) -> DataFrame:
@@ -288,10 +339,7 @@ def dedup_repeats(docs: DataFrame, *, min_words: int | None = 10, words: int | N
             counts[0, row : row + len(offsets) - 1] = np.searchsorted(ends, offsets[1:]) - np.searchsorted(ends, offsets[:-1]) + (offsets[1:] > offsets[:-1])
         changed, at = [], np.flatnonzero(gone.is_valid().to_numpy(zero_copy_only=False)).tolist()
         for k in at:
-            numbers = gone[k].as_py()
-            chunks = {-1 - x for x in numbers if x < 0}
-            text, counts[1, k], counts[3, k] = without(texts[k].as_py().encode(), chunks, [x for x in numbers if x >= 0], words or 0)
-            counts[2, k] = len(chunks)
+            text, counts[1, k], counts[2, k], counts[3, k] = without(texts[k].as_py().encode(), gone[k].as_py(), min_words, words)
             changed.append(text.decode())
         if at:
             mask = np.zeros(len(texts), bool)

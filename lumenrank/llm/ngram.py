@@ -443,8 +443,8 @@ def connected_components(edges: DataFrame, most_rounds: int = 60, small: int = S
 def _merge(postings: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """((c, m): classes joined inside blocks, (c, u): each class's block of the first round).
 
-    A class's home is its token with the largest group. Further rounds join, by one class each, what the
-    blocks of a large group have joined, as long as a quarter of the classes in large groups goes.
+    A class's home is its token with the largest group. Further rounds take the classes of groups of several
+    blocks, one for each that a block has joined, as long as a quarter of them goes.
     """
     mapping = units = None
     current = postings
@@ -460,10 +460,11 @@ def _merge(postings: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFram
         else:
             after = step.select(F.col("c").alias("m"), F.col("m").alias("m2"))
             mapping = materialise(mapping.join(after, "m", "left").select("c", F.coalesce("m2", "m").alias("m")).unionByName(step), "ngram-mapping")
-        large = members.filter("salts > 1").count()
-        if not large or step.count() * 4 < large:
+        large = members.filter("salts > 1").select("c")
+        n, left = large.count(), materialise(large.join(step.select("c"), "c", "left_anti"), "ngram-left")
+        if not n or left.count() * 4 > n * 3:
             return mapping, units
-        current = current.join(step.select("c"), "c", "left_anti")
+        current = current.join(left, "c", "left_semi")
 
 
 def _remaining_edges(postings: DataFrame, sets: DataFrame, mapping: DataFrame, units: DataFrame, percent: int) -> DataFrame:

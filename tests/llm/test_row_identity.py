@@ -1,7 +1,10 @@
 """Line dedup tells rows apart by all their columns, and keeps a user's columns of any name."""
 
+import re
+
 from lumenrank.llm import linededup
 from lumenrank.llm.common import row_digest
+from tests.llm.test_passages import SPACE, brute_gone, corpus
 
 LINES = "\n".join(" ".join(f"w{i}{j}" for j in range(9)) for i in range(12))
 ADDED = ("n_lines", "removed_lines", "removed_chunks", "removed_words")
@@ -45,3 +48,16 @@ def test_long_texts_and_a_hot_passage(spark):
     got = {r.doc_id: r for r in linededup.dedup_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[0].text == long and got[1].text == "own start" and got[1].removed_words == 30_000
     assert sum(hot in (r.text or "") for r in got.values()) == 1 and all(got[i].text.split() == [f"a{i}", f"b{i}", f"c{i}"] for i in range(11, 400))
+
+
+def test_copies_of_whole_texts(spark):
+    rows, _ = corpus()
+    rows += [(100 + k, rows[i][1]) for k, i in enumerate((3, 3, 7, 24, 27, 30))] + [(-5, rows[8][1]), (120, rows[9][1] + " tail")]
+    rows = [(i, t) for i, t in sorted(rows)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in linededup.dedup_passages(docs).collect()}
+    for (i, text), want in zip(rows, brute_gone(rows, 51)):
+        assert [w for w in re.split(SPACE, got[i].text) if w] == want, i
+    both = {r.doc_id: r for r in linededup.dedup_repeats(docs).collect()}
+    assert both[-5].text == dict(rows)[-5] and [both[i].text for i in (8, 100, 101, 102)] == [""] * 4
+    assert all(len(both[i].text) <= len(got[i].text) for i, _ in rows)
