@@ -11,8 +11,10 @@ once; what goes always has an earlier copy, and the earliest of all stays.
 The first reading counts hashes of whole texts, chunks and runs' least shingles. Bitmaps of fixed size
 tell the second which of them occur again, so only what may be repeated is shuffled, and which of the
 texts and chunks are surely not the first of theirs: those lose their words as wholes, and the runs
-inside them are not looked at one by one. Hot keys are dealt by salt; the hashes that tell a hot run
-have more than a thousandth of all repeated ones each, so they are fewer than a thousand.
+inside them are not looked at one by one. Runs side by side with one least shingle travel as one row and
+meet in the order of their places, ``FEW`` rows of a shingle at most. Runs of more frequent shingles are
+rows each: the first of each is combined before the shuffle, and keys with more than a thousandth of
+all those rows (fewer than a thousand keys) are dealt by salt.
 
 Defined results: a null text stays null and an empty one empty; a text that loses all its lines
 becomes empty, and its row stays; chunks of one line, of white space only, or of fewer than
@@ -30,7 +32,7 @@ from hashlib import blake2b
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenrank.llm import wordhash
@@ -39,8 +41,9 @@ from lumenrank.llm.common import materialise, release, row_digest
 WINDOW, MASK, MOST = 2, 3, 16  # lines of the rolling hash; one boundary in MASK + 1; lines of a chunk at most
 PASSAGE, BITS = 51, 26  # words of a passage at least; log2 of the bitmap of shingles that occur again
 CHUNK, RUN, TEXT = 0, 1, 2  # kinds of what is looked for: chunks of lines, runs of words, whole texts
-FIRST = 10  # added to a kind: places that may be the first
-FOUND = "kind int, r1 long, r2 long, doc_id long, at int, h1 long, h2 long, hot boolean, body binary"
+FIRST, HOT, FEW = 10, 20, 4096  # added to a kind: places that may be the first, what occurs more than FEW times
+PACKED = RUN + 10  # the kind of a row of runs side by side: h1 their least shingle, body their digests
+FOUND = "kind int, r1 long, r2 long, doc_id long, at int, h1 long, h2 long, body binary"
 SALTS, WHOLE = 64, -(1 << 31)
 
 
@@ -134,8 +137,8 @@ def _places(h: np.ndarray, doc_ids: np.ndarray) -> np.ndarray:
     return wordhash.mix(h ^ wordhash.mix(doc_ids.view(np.uint64)))
 
 
-def _again(rows: DataFrame, min_words: int | None, words: int | None) -> tuple[dict[int, np.ndarray], np.ndarray]:
-    """Bitmaps of 8 MB each: which ranges of hash space hold something that occurs again, or its first place; and the hot shingles."""
+def _again(rows: DataFrame, min_words: int | None, words: int | None, few: int) -> dict[int, np.ndarray]:
+    """Bitmaps of 8 MB each: which ranges of hash space hold something that occurs again, its first place, or a frequent shingle."""
 
     def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -157,25 +160,21 @@ def _again(rows: DataFrame, min_words: int | None, words: int | None) -> tuple[d
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kind, h, doc_id = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-            first = np.flatnonzero(kind != RUN)
-            both = np.concatenate([h.view(np.uint64), _places(h[first].view(np.uint64), doc_id[first].astype(np.int64))]) >> np.uint64(64 - BITS)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([kind, kind[first] + np.int32(FIRST)])), pa.array(both.astype(np.int64))], ["kind", "bit"])
+            kind, h, n = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 3))
+            doc_id, h = batch.column(2).fill_null(0).to_numpy(zero_copy_only=False), h.view(np.uint64)
+            first, hot = np.flatnonzero(kind != RUN), np.flatnonzero((kind == RUN) & (n > few))
+            bit = np.concatenate([h, _places(h[first], doc_id[first]), h[hot]]) >> np.uint64(64 - BITS)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([kind, kind[first] + np.int32(FIRST), kind[hot] + np.int32(HOT)])), pa.array(bit.astype(np.int64))], ["kind", "bit"])
 
     key = rows.select(F.coalesce("doc_id", F.lit(-(1 << 63))), "text")
     again = key.mapInArrow(signatures, "kind int, h long, doc_id long").groupBy("kind", "h").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id")).filter("n > 1")
-    again = materialise(again, "repeat-hashes")
     bit = F.col("bit") + 1
-    set_ = again.select("kind", "h", "doc_id").mapInArrow(bits, "kind int, bit long")
+    set_ = again.select("kind", "h", "doc_id", "n").mapInArrow(bits, "kind int, bit long")
     parts = set_.groupBy("kind", F.bitmap_bucket_number(bit).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).collect()
-    out = {k: np.zeros((1 << BITS) // 8, np.uint8) for k in (CHUNK, RUN, TEXT, CHUNK + FIRST, TEXT + FIRST)}
+    out = {k: np.zeros((1 << BITS) // 8, np.uint8) for k in (CHUNK, RUN, TEXT, CHUNK + FIRST, TEXT + FIRST, RUN + HOT)}
     for p in parts:
         out[p.kind][(p.k - 1) * 4096 :][: len(p.bits)] = np.frombuffer(p.bits, np.uint8)
-    runs = again.filter(F.col("kind") == RUN)
-    total = runs.agg(F.sum("n")).first()[0] or 0
-    hot = runs.filter(F.col("n") * 1000 > total).select("h").collect()  # fewer than a thousand
-    release(again)
-    return out, np.sort(np.array([r.h for r in hot], np.int64)).view(np.uint64)
+    return out
 
 
 def _is_set(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -183,21 +182,20 @@ def _is_set(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (bitmap[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
 
 
-def _occurrences(rows: DataFrame, min_words: int | None, words: int | None) -> DataFrame:
-    """Every text, chunk and run that may be repeated: its row and place, a digest, and a chunk's bytes."""
-    sent = rows.sparkSession.sparkContext.broadcast(_again(rows, min_words, words))
-    names = ["kind", "r1", "r2", "doc_id", "at", "h1", "h2", "hot", "body"]
+def _occurrences(rows: DataFrame, min_words: int | None, words: int | None, few: int) -> DataFrame:
+    """Every text, chunk and run that may be repeated: its row and place, a digest, and a chunk's bytes; runs of one shingle packed."""
+    sent = rows.sparkSession.sparkContext.broadcast(_again(rows, min_words, words, few))
+    names = ["kind", "r1", "r2", "doc_id", "at", "h1", "h2", "body"]
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, hot = sent.value
+        known = sent.value
         for batch in batches:
             doc_ids = batch.column(2).fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)
 
-            def rows_of(kind: int, row: np.ndarray, at: np.ndarray, digest: np.ndarray, warm: np.ndarray, body: list[bytes] | None = None) -> pa.RecordBatch:
-                take, n = pa.array(row), len(row)
-                bodies = pa.array(body, pa.binary()) if body is not None else pa.nulls(n, pa.binary())
-                columns = [batch.column(k).take(take) for k in range(3)]
-                return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), *columns, pa.array(at.astype(np.int32)), pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy()), pa.array(warm), bodies], names)
+            def rows_of(kind: int, row: np.ndarray, at: np.ndarray, digest: np.ndarray, body: pa.Array | None = None) -> pa.RecordBatch:
+                columns = [batch.column(k).take(pa.array(row)) for k in range(3)]
+                last = body if body is not None else pa.nulls(len(row), pa.binary())
+                return pa.RecordBatch.from_arrays([pa.array(np.full(len(row), kind, np.int32)), *columns, pa.array(at.astype(np.int32)), pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy()), last], names)
 
             def later(kind: int, h: np.ndarray, doc_id: np.ndarray) -> np.ndarray:
                 """Which repeated ones are surely not the first of theirs."""
@@ -208,7 +206,7 @@ def _occurrences(rows: DataFrame, min_words: int | None, words: int | None) -> D
                 whole = wordhash.hashes(data, offsets[:-1], offsets[1:])
                 copies = np.flatnonzero(_is_set(known[TEXT], whole) & (np.diff(offsets) > 0))
                 if len(copies):
-                    yield rows_of(TEXT, copies + row, np.zeros(len(copies)), _digests(raw, offsets[copies], offsets[copies + 1]), np.zeros(len(copies), bool))
+                    yield rows_of(TEXT, copies + row, np.zeros(len(copies)), _digests(raw, offsets[copies], offsets[copies + 1]))
                 gone = later(TEXT, whole, ids)
                 covered = np.zeros(len(data) + 1, np.int8)
                 if min_words is not None:
@@ -219,7 +217,7 @@ def _occurrences(rows: DataFrame, min_words: int | None, words: int | None) -> D
                     at = np.flatnonzero(_is_set(known[CHUNK], h) & ~gone[doc])
                     if len(at):
                         start, stop = start[at], stop[at]
-                        yield rows_of(CHUNK, doc[at] + row, number[at], _digests(raw, start, stop), np.zeros(len(at), bool), [raw[i:j] for i, j in zip(start.tolist(), stop.tolist())])
+                        yield rows_of(CHUNK, doc[at] + row, number[at], _digests(raw, start, stop), pa.array([raw[i:j] for i, j in zip(start.tolist(), stop.tolist())], pa.binary()))
                 if words is not None:
                     starts, ends, firsts, least, _ = passage_windows(data, offsets, words)
                     open_ = np.concatenate([[0], np.cumsum(np.cumsum(covered[:-1], dtype=np.int8)[starts] == 0)])  # words that no later chunk covers
@@ -227,22 +225,67 @@ def _occurrences(rows: DataFrame, min_words: int | None, words: int | None) -> D
                     if len(found):
                         doc = np.searchsorted(firsts, found, side="right") - 1
                         found, doc = found[~gone[doc]], doc[~gone[doc]]
-                        warm = hot[np.minimum(np.searchsorted(hot, least[found]), len(hot) - 1)] == least[found] if len(hot) else np.zeros(len(found), bool)
                     for k in range(0, len(found), 1 << 16):
                         at, of = found[k : k + (1 << 16)], doc[k : k + (1 << 16)]
-                        yield rows_of(RUN, of + row, at - firsts[of], _digests(raw, starts[at], ends[at + words - 1]), warm[k : k + (1 << 16)])
+                        digest, place, key = _digests(raw, starts[at], ends[at + words - 1]), at - firsts[of], least[at]
+                        hot = _is_set(known[RUN + HOT], key)
+                        if hot.any():
+                            yield rows_of(RUN, of[hot] + row, place[hot], digest[hot])
+                        at, of, digest, place, key = (x[~hot] for x in (at, of, digest, place, key))
+                        if len(at):
+                            cut = np.flatnonzero(np.concatenate([[True], (np.diff(at) != 1) | (np.diff(of) != 0) | (key[1:] != key[:-1])]))
+                            ends_ = np.concatenate([cut, [len(at)]]).astype(np.int32) * np.int32(16)
+                            packed = pa.Array.from_buffers(pa.binary(), len(cut), [None, pa.py_buffer(ends_), pa.py_buffer(np.ascontiguousarray(digest))])
+                            yield rows_of(PACKED, of[cut] + row, place[cut], np.stack([key[cut].view(np.int64), np.zeros(len(cut), np.int64)], axis=1), packed)
 
     return rows.mapInArrow(compute, FOUND)
 
 
-def repeats(rows: DataFrame, *, min_words: int | None, words: int | None) -> DataFrame:
+def later_runs(packed: DataFrame, words: int) -> DataFrame:
+    """r1, r2, gone of rows (h1, doc_id, r1, r2, at, body) of runs side by side that come later than an equal run."""
+
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def settle(rows: pa.RecordBatch) -> pa.RecordBatch:
+            """All rows of some shingles, in the order of their places."""
+            r1, r2, at = (rows.column(k).to_numpy(zero_copy_only=False) for k in (2, 3, 4))
+            sizes = pa.compute.binary_length(rows.column(5)).to_numpy(zero_copy_only=False) // 16
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            start = at[row] + np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            digest = wordhash.buffers(rows.column(5))[0].view("<i8").reshape(-1, 2)
+            order = np.lexsort((digest[:, 1], digest[:, 0]))  # stable: equal digests stay in the order of their places
+            new = np.ones(len(order), bool)
+            new[1:] = (digest[order][1:] != digest[order][:-1]).any(axis=1)
+            first = np.empty(len(order), np.int64)
+            first[order] = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+            other = (r1[row] != r1[row[first]]) | (r2[row] != r2[row[first]])
+            gone = np.flatnonzero(other | (start >= start[first] + words))
+            has = np.unique(row[gone])
+            cuts = np.searchsorted(row[gone], np.append(has, len(sizes))).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(cuts), pa.array(start[gone].astype(np.int32)))
+            return pa.RecordBatch.from_arrays([pa.array(r1[has]), pa.array(r2[has]), lists], ["r1", "r2", "gone"])
+
+        held = None  # the rows of the last shingle so far
+        for batch in batches:
+            rows = batch if held is None else pa.concat_batches([held, batch])
+            if rows.num_rows:
+                h = rows.column(0).to_numpy(zero_copy_only=False)
+                cut = int(np.argmax(h == h[-1]))
+                held = rows.slice(cut)
+                if cut:
+                    yield settle(rows.slice(0, cut))
+        if held is not None:
+            yield settle(held)
+
+    rows = packed.select("h1", F.col("doc_id"), "r1", "r2", "at", "body").repartition("h1")
+    return rows.sortWithinPartitions("h1", F.col("doc_id").asc_nulls_first(), "r1", "r2", "at").mapInArrow(compute, "r1 long, r2 long, gone array<int>")
+
+
+def repeats(rows: DataFrame, *, min_words: int | None, words: int | None, few: int = FEW) -> DataFrame:
     """r1, r2, gone of the rows (r1, r2, doc_id, text) that lose something: chunk c as -1 - c, the run from word w on as w, the whole text as WHOLE."""
-    found = materialise(_occurrences(rows, min_words, words), "repeat-places")
-    runs = (F.col("kind") == RUN) & ~F.col("hot")
-    first = F.first(F.struct("r1", "r2", "at")).over(Window.partitionBy("h1", "h2").orderBy(F.col("doc_id").asc_nulls_first(), "r1", "r2", "at"))
-    plain = found.filter(runs).select("kind", "r1", "r2", "at", F.lit(None).cast("binary").alias("body"), first.alias("first"))
+    found = materialise(_occurrences(rows, min_words, words, few), "repeat-places")
+    packed = later_runs(found.filter(F.col("kind") == PACKED), words or 0)
     # what may be hot: the first of each combined before the shuffle, and met by salt
-    rest, keys = found.filter(~runs), ["kind", "h1", "h2"]
+    rest, keys = found.filter(F.col("kind") != PACKED), ["kind", "h1", "h2"]
     place = F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"), "r1", "r2", "at", "body")
     firsts = materialise(rest.groupBy(*keys).agg(F.count("*").alias("n"), F.min(place).alias("first")).filter("n > 1"), "repeat-firsts")
     total = firsts.agg(F.sum("n")).first()[0] or 0
@@ -252,11 +295,14 @@ def repeats(rows: DataFrame, *, min_words: int | None, words: int | None) -> Dat
     left = rest.join(hot, keys, "left").withColumn("salt", salt.cast("int")).select(*keys, "salt", "r1", "r2", "at", "body")
     right = firsts.select(*keys, "first").join(hot, keys, "left").select(*keys, "first", F.explode(salts).alias("salt"))
     met = left.join(right, [*keys, "salt"]).filter((F.col("kind") != CHUNK) | (F.col("body") == F.col("first.body")))
-    met = plain.unionByName(met.select("kind", "r1", "r2", "at", "body", F.struct("first.r1", "first.r2", "first.at").alias("first")))
     other = (F.col("r1") != F.col("first.r1")) | (F.col("r2") != F.col("first.r2"))
     apart = F.when(F.col("kind") == CHUNK, F.col("at") != F.col("first.at")).when(F.col("kind") == RUN, F.col("at") >= F.col("first.at") + F.lit(words or 0)).otherwise(False)
     gone = F.when(F.col("kind") == CHUNK, -1 - F.col("at")).when(F.col("kind") == TEXT, F.lit(WHOLE)).otherwise(F.col("at"))
-    return met.filter(other | apart).groupBy("r1", "r2").agg(F.collect_list(gone).alias("gone"))
+    single = met.filter(other | apart).select("r1", "r2", F.array(gone).alias("gone"))
+    out = packed.unionByName(single).groupBy("r1", "r2").agg(F.flatten(F.collect_list("gone")).alias("gone"))
+    out = materialise(out, "repeats")
+    release(found, firsts)
+    return out
 
 
 def cut_words(text: bytes, starts: list[int], words: int) -> tuple[bytes, int]:

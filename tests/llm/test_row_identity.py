@@ -61,3 +61,17 @@ def test_copies_of_whole_texts(spark):
     both = {r.doc_id: r for r in linededup.dedup_repeats(docs).collect()}
     assert both[-5].text == dict(rows)[-5] and [both[i].text for i in (8, 100, 101, 102)] == [""] * 4
     assert all(len(both[i].text) <= len(got[i].text) for i, _ in rows)
+
+
+def test_packed_and_frequent_runs_give_the_same(spark):
+    rows, _ = corpus()
+    rows = [(i, t) for i, t in sorted(rows)] + [(200 + i, "low " * 300 + t) for i, t in rows[:6]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id AS r1", "2 * doc_id AS r2", "doc_id", "text")
+    want = brute_gone(rows, 51)
+    for few in (0, 1, 5, 4096):
+        got = {r.r1: set(r.gone) for r in linededup.repeats(docs, min_words=None, words=51, few=few).collect()}
+        for (i, text), kept in zip(rows, want):
+            w = [x for x in re.split(SPACE, text) if x]
+            gone = got.get(i, set())
+            if linededup.WHOLE not in gone:
+                assert [x for k, x in enumerate(w) if not any(k - 50 <= s <= k for s in gone)] == kept, (few, i)
