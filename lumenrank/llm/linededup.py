@@ -13,8 +13,9 @@ tell the second which of them occur again, so only what may be repeated is shuff
 texts and chunks are surely not the first of theirs: those lose their words as wholes, and the runs
 inside them are not looked at one by one. Runs side by side with one least shingle travel as one row and
 meet in the order of their places, ``FEW`` rows of a shingle at most. Runs of more frequent shingles are
-rows each: the first of each is combined before the shuffle, and keys with more than a thousandth of
-all those rows (fewer than a thousand keys) are dealt by salt.
+rows each, dealt by key and salt, and what comes first under its salt meets once more by key alone. Of
+texts and chunks the first is combined before the shuffle, and keys with more than a thousandth of all
+their rows (fewer than a thousand keys) are dealt by salt.
 
 Defined results: a null text stays null and an empty one empty; a text that loses all its lines
 becomes empty, and its row stays; chunks of one line, of white space only, or of fewer than
@@ -26,14 +27,16 @@ added ones are replaced.
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Iterator
-from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import Column, DataFrame
+import zstandard
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from xxhash import xxh3_128_digest
 
 from lumenrank.llm import wordhash
 from lumenrank.llm.common import materialise, release, row_digest
@@ -127,9 +130,9 @@ def large_chunks(data: np.ndarray, offsets: np.ndarray, min_words: int):
     return doc[keep], number[keep], start[keep], stop[keep], h
 
 
-def _digests(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """128 bits of BLAKE2 of each span, as two columns."""
-    joined = b"".join(blake2b(raw[i:j], digest_size=16).digest() for i, j in zip(starts.tolist(), ends.tolist()))
+def _digests(raw: bytes, starts: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
+    """128 bits of each span, as two columns; nobody who writes a text knows the seed."""
+    joined = b"".join([xxh3_128_digest(raw[i:j], seed) for i, j in zip(starts.tolist(), ends.tolist())])
     return np.frombuffer(joined, "<i8").reshape(-1, 2)
 
 
@@ -184,11 +187,12 @@ def _is_set(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 def _occurrences(rows: DataFrame, min_words: int | None, words: int | None, few: int) -> DataFrame:
     """Every text, chunk and run that may be repeated: its row and place, a digest, and a chunk's bytes; runs of one shingle packed."""
-    sent = rows.sparkSession.sparkContext.broadcast(_again(rows, min_words, words, few))
+    bitmaps = {k: zstandard.ZstdCompressor(level=1).compress(v.tobytes()) for k, v in _again(rows, min_words, words, few).items()}
+    sent, seed = rows.sparkSession.sparkContext.broadcast(bitmaps), secrets.randbits(64)
     names = ["kind", "r1", "r2", "doc_id", "at", "h1", "h2", "body"]
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = sent.value
+        known = {k: np.frombuffer(zstandard.ZstdDecompressor().decompress(v), np.uint8) for k, v in sent.value.items()}
         for batch in batches:
             doc_ids = batch.column(2).fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)
 
@@ -206,7 +210,7 @@ def _occurrences(rows: DataFrame, min_words: int | None, words: int | None, few:
                 whole = wordhash.hashes(data, offsets[:-1], offsets[1:])
                 copies = np.flatnonzero(_is_set(known[TEXT], whole) & (np.diff(offsets) > 0))
                 if len(copies):
-                    yield rows_of(TEXT, copies + row, np.zeros(len(copies)), _digests(raw, offsets[copies], offsets[copies + 1]))
+                    yield rows_of(TEXT, copies + row, np.zeros(len(copies)), _digests(raw, offsets[copies], offsets[copies + 1], seed))
                 gone = later(TEXT, whole, ids)
                 covered = np.zeros(len(data) + 1, np.int8)
                 if min_words is not None:
@@ -217,7 +221,7 @@ def _occurrences(rows: DataFrame, min_words: int | None, words: int | None, few:
                     at = np.flatnonzero(_is_set(known[CHUNK], h) & ~gone[doc])
                     if len(at):
                         start, stop = start[at], stop[at]
-                        yield rows_of(CHUNK, doc[at] + row, number[at], _digests(raw, start, stop), pa.array([raw[i:j] for i, j in zip(start.tolist(), stop.tolist())], pa.binary()))
+                        yield rows_of(CHUNK, doc[at] + row, number[at], _digests(raw, start, stop, seed), pa.array([raw[i:j] for i, j in zip(start.tolist(), stop.tolist())], pa.binary()))
                 if words is not None:
                     starts, ends, firsts, least, _ = passage_windows(data, offsets, words)
                     open_ = np.concatenate([[0], np.cumsum(np.cumsum(covered[:-1], dtype=np.int8)[starts] == 0)])  # words that no later chunk covers
@@ -227,7 +231,7 @@ def _occurrences(rows: DataFrame, min_words: int | None, words: int | None, few:
                         found, doc = found[~gone[doc]], doc[~gone[doc]]
                     for k in range(0, len(found), 1 << 16):
                         at, of = found[k : k + (1 << 16)], doc[k : k + (1 << 16)]
-                        digest, place, key = _digests(raw, starts[at], ends[at + words - 1]), at - firsts[of], least[at]
+                        digest, place, key = _digests(raw, starts[at], ends[at + words - 1], seed), at - firsts[of], least[at]
                         hot = _is_set(known[RUN + HOT], key)
                         if hot.any():
                             yield rows_of(RUN, of[hot] + row, place[hot], digest[hot])
@@ -280,28 +284,48 @@ def later_runs(packed: DataFrame, words: int) -> DataFrame:
     return rows.sortWithinPartitions("h1", F.col("doc_id").asc_nulls_first(), "r1", "r2", "at").mapInArrow(compute, "r1 long, r2 long, gone array<int>")
 
 
-def repeats(rows: DataFrame, *, min_words: int | None, words: int | None, few: int = FEW) -> DataFrame:
-    """r1, r2, gone of the rows (r1, r2, doc_id, text) that lose something: chunk c as -1 - c, the run from word w on as w, the whole text as WHOLE."""
-    found = materialise(_occurrences(rows, min_words, words, few), "repeat-places")
-    packed = later_runs(found.filter(F.col("kind") == PACKED), words or 0)
-    # what may be hot: the first of each combined before the shuffle, and met by salt
-    rest, keys = found.filter(F.col("kind") != PACKED), ["kind", "h1", "h2"]
+def later_frequent_runs(runs: DataFrame, words: int) -> DataFrame:
+    """r1, r2, gone (one word) of the runs that come later than an equal one; a key's rows may be a third of all."""
+    place = F.struct("r1", "r2", "at")
+
+    def first(*keys: str) -> Column:
+        return F.first(place).over(Window.partitionBy("h1", "h2", *keys).orderBy(F.col("doc_id").asc_nulls_first(), "r1", "r2", "at"))
+
+    later = (F.col("r1") != F.col("first.r1")) | (F.col("r2") != F.col("first.r2")) | (F.col("at") >= F.col("first.at") + words)
+    salted = runs.withColumn("salt", F.pmod(F.xxhash64("r1", "r2"), F.lit(SALTS)))
+    once = salted.withColumn("first", first("salt")).select("h1", "h2", "doc_id", "r1", "r2", "at", later.alias("gone"))
+    once = materialise(once, "frequent-runs")
+    # of a key and salt stay the first and what overlaps it in its own row
+    again = once.filter("NOT gone").withColumn("first", first()).filter(later)
+    return once.filter("gone").unionByName(again.drop("first")).select("r1", "r2", F.col("at").alias("gone"))
+
+
+def later_wholes(found: DataFrame) -> DataFrame:
+    """r1, r2, gone (a chunk's or text's number) of the chunks and texts that come later than an equal one."""
+    keys = ["kind", "h1", "h2"]
     place = F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"), "r1", "r2", "at", "body")
-    firsts = materialise(rest.groupBy(*keys).agg(F.count("*").alias("n"), F.min(place).alias("first")).filter("n > 1"), "repeat-firsts")
+    firsts = materialise(found.groupBy(*keys).agg(F.count("*").alias("n"), F.min(place).alias("first")).filter("n > 1"), "repeat-firsts")
     total = firsts.agg(F.sum("n")).first()[0] or 0
     hot = F.broadcast(firsts.filter(F.col("n") * 1000 > total).select(*keys, F.lit(True).alias("warm")))  # fewer than 1000 rows
     salt: Column = F.when(F.col("warm"), F.pmod(F.xxhash64("r1", "r2", "at"), F.lit(SALTS))).otherwise(0)
     salts = F.when(F.col("warm"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    left = rest.join(hot, keys, "left").withColumn("salt", salt.cast("int")).select(*keys, "salt", "r1", "r2", "at", "body")
+    left = found.join(hot, keys, "left").withColumn("salt", salt.cast("int")).select(*keys, "salt", "r1", "r2", "at", "body")
     right = firsts.select(*keys, "first").join(hot, keys, "left").select(*keys, "first", F.explode(salts).alias("salt"))
-    met = left.join(right, [*keys, "salt"]).filter((F.col("kind") != CHUNK) | (F.col("body") == F.col("first.body")))
+    met = left.join(right, [*keys, "salt"]).filter((F.col("kind") == TEXT) | (F.col("body") == F.col("first.body")))
     other = (F.col("r1") != F.col("first.r1")) | (F.col("r2") != F.col("first.r2"))
-    apart = F.when(F.col("kind") == CHUNK, F.col("at") != F.col("first.at")).when(F.col("kind") == RUN, F.col("at") >= F.col("first.at") + F.lit(words or 0)).otherwise(False)
-    gone = F.when(F.col("kind") == CHUNK, -1 - F.col("at")).when(F.col("kind") == TEXT, F.lit(WHOLE)).otherwise(F.col("at"))
-    single = met.filter(other | apart).select("r1", "r2", F.array(gone).alias("gone"))
+    gone = F.when(F.col("kind") == CHUNK, -1 - F.col("at")).otherwise(F.lit(WHOLE))
+    return met.filter(other | (F.col("at") != F.col("first.at"))).select("r1", "r2", gone.alias("gone"))
+
+
+def repeats(rows: DataFrame, *, min_words: int | None, words: int | None, few: int = FEW) -> DataFrame:
+    """r1, r2, gone of the rows (r1, r2, doc_id, text) that lose something: chunk c as -1 - c, the run from word w on as w, the whole text as WHOLE."""
+    found = materialise(_occurrences(rows, min_words, words, few), "repeat-places")
+    packed = later_runs(found.filter(F.col("kind") == PACKED), words or 0)
+    frequent, other = later_frequent_runs(found.filter(F.col("kind") == RUN), words or 0), later_wholes(found.filter(F.col("kind").isin(CHUNK, TEXT)))
+    single = frequent.unionByName(other).select("r1", "r2", F.array("gone").alias("gone"))
     out = packed.unionByName(single).groupBy("r1", "r2").agg(F.flatten(F.collect_list("gone")).alias("gone"))
     out = materialise(out, "repeats")
-    release(found, firsts)
+    release(found)
     return out
 
 
@@ -367,7 +391,7 @@ def dedup_repeats(docs: DataFrame, *, min_words: int | None = 10, words: int | N
     None for ``min_words`` or ``words`` leaves out that half and its columns. A run with its white space
     stays where it comes first (smallest doc_id, then row and position) and goes everywhere else, except
     where it overlaps that first place; runs side by side join, so a passage goes up to its true edges.
-    Runs are equal if 128-bit BLAKE2 digests of their bytes are.
+    Runs and whole texts are equal if 128-bit digests of their bytes, under a seed of the moment, are.
     """
     added = [*(("n_lines", "removed_lines", "removed_chunks") if min_words is not None else ()), *(("removed_words",) if words is not None else ())]
     docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in added])
