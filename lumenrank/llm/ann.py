@@ -6,13 +6,16 @@ have four bits; a query's tables give approximate scores of a whole block, the b
 scored exactly on the original vectors, and the best of all blocks are the answer.
 
 The codebooks are fitted on at most ``SAMPLE`` vectors (smallest hash of the id); every row is
-encoded and scanned. Vectors stand in blocks of about ``BLOCK`` rows, each in one task with the
-queries streaming past it, so a task's memory does not grow with the table.
+encoded and scanned. Vectors keep their element type on the way and stand in blocks of at most
+``BLOCK_BYTES``, each in a task of its own with the queries streaming past it, so a task's memory does
+not grow with the table, and a query travels once for each block.
 
 Defined results: vectors that are null, zero, of another than the most common length, or hold null
 or non-finite components take no part; ties go to the smaller vec_id; fewer candidates than asked for
-are all returned; repeated rows are candidates each; a null vec_id takes no part; an empty table gives
-an empty result; other columns are ignored.
+are all returned; a query row is no candidate of its own, but every other row is, also one with its id
+or vector; equal query rows are one query, and query rows of one id with different vectors are ranked
+each by itself; a null vec_id takes no part; an empty table gives an empty result; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SAMPLE, BLOCK, CODES, WIDTH = 8192, 8192, 16, 2
+SAMPLE, CODES, WIDTH = 8192, 16, 2
+BLOCK_BYTES, LEAST = 64 << 20, 8192  # vectors of a block: bytes at most, and rows at least where there are more tasks than blocks
 RESULT = "query_id long, vec_id long, score double"
 
 
@@ -125,8 +129,9 @@ def best(scores: np.ndarray, k: int) -> np.ndarray:
 
 
 def valid_vectors(vectors: DataFrame) -> tuple[DataFrame, int, int]:
-    """(vec_id, embedding of doubles) of the rows that take part, their length and number."""
-    v = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).filter("vec_id IS NOT NULL AND embedding IS NOT NULL")
+    """(vec_id, embedding of floats, or doubles if it holds other numbers) of the rows that take part, their length and number."""
+    kind = "array<float>" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
+    v = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast(kind)).filter("vec_id IS NOT NULL AND embedding IS NOT NULL")
     finite = F.expr("forall(embedding, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('Infinity')) AND exists(embedding, x -> x <> 0)")
     v = v.filter(finite)
     lengths = v.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
@@ -138,18 +143,16 @@ def _matrix(column: pa.Array, d: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
 
 
-def search(vectors: DataFrame, is_query: Column, *, k: int = 20, rerank: int = 160) -> DataFrame:
-    """query_id, rank, vec_id, score: each query row's k nearest other rows.
-
-    Equal query rows are one query; query rows of one id with different vectors are ranked each by itself.
-    """
+def search(vectors: DataFrame, is_query: Column, *, k: int = 20, rerank: int = 160, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """query_id, rank, vec_id, score: each query row's k nearest other rows."""
     spark = vectors.sparkSession
     v, d, n = valid_vectors(vectors)
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     sample = v.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toArrow()["embedding"].combine_chunks()
     book = AnisotropicCodebook.fit(_matrix(sample, d).astype(np.float32))
-    blocks = -(-n // BLOCK)
+    width = 4 if v.schema["embedding"].dataType.simpleString() == "array<float>" else 8
+    blocks = max(-(-n * d * width // block_bytes), min(spark.sparkContext.defaultParallelism, n // LEAST), 1)
     rows = v.select((F.pmod(F.xxhash64("vec_id"), F.lit(blocks))).cast("int").alias("block"), F.lit(0).alias("kind"), "vec_id", "embedding", F.lit(0).cast("long").alias("query"))
     asked = v.filter(is_query).dropDuplicates(["vec_id", "embedding"]).withColumn("query", F.xxhash64("embedding"))
     queries = asked.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("kind"), "vec_id", "embedding", "query")
@@ -163,7 +166,8 @@ def search(vectors: DataFrame, is_query: Column, *, k: int = 20, rerank: int = 1
             ids, exact = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
             order = np.argsort(ids, kind="stable")
             ids, exact, held = ids[order], exact[order], []
-            packed = pack_codes(book.encode(exact.astype(np.float32)))
+            parts = [pack_codes(book.encode(exact[i : i + LEAST].astype(np.float32))) for i in range(0, len(exact), LEAST)]
+            packed = np.concatenate(parts, axis=1)
 
         for batch in batches:
             block, kind = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
@@ -187,8 +191,10 @@ def search(vectors: DataFrame, is_query: Column, *, k: int = 20, rerank: int = 1
                     tables = book.tables(x[i : i + 64].astype(np.float32))
                     for q, table in enumerate(tables, i):
                         c = best(scan(packed, table), rerank + 1)
-                        c = c[ids[c] != vec_ids[q]]
-                        s = exact[c] @ x[q]
+                        own = np.flatnonzero(ids[c] == vec_ids[q])
+                        own = own[(exact[c[own]] == x[q]).all(axis=1)]
+                        c = np.delete(c, own[:1])
+                        s = exact[c].astype(np.float64) @ x[q].astype(np.float64)
                         top = np.lexsort((ids[c], -s))[:k]
                         out[0].append(np.full(len(top), vec_ids[q]))
                         out[1].append(ids[c[top]])
@@ -196,7 +202,7 @@ def search(vectors: DataFrame, is_query: Column, *, k: int = 20, rerank: int = 1
                         out[3].append(np.full(len(top), numbers[q]))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in out], ["query_id", "vec_id", "score", "query"])
 
-    dealt = rows.unionByName(queries).repartition("block").sortWithinPartitions("block", "kind", "vec_id")
+    dealt = rows.unionByName(queries).repartitionById(blocks, "block").sortWithinPartitions("block", "kind", "vec_id")
     order = Window.partitionBy("query_id", "query").orderBy(F.desc("score"), "vec_id")
     found = dealt.mapInArrow(near, f"{RESULT}, query long").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return found.select("query_id", "rank", "vec_id", "score")
