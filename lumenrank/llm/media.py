@@ -6,6 +6,9 @@ samples are computed), takes overlapped log-mel filterbanks, cuts all frames int
 shape with their time spans, and marks segments by a hysteresis on the frame energy, with their own
 patches.
 
+``write_features`` stores patches and segments as Arrow IPC files in which every tensor has Arrow's
+fixed-shape type, beside its time span; ``read_features`` reads them back.
+
 Defined results: a null payload counts as empty, and empty audio has no frame and no segment; equal
 payloads give equal rows; samples are processed in blocks, so memory is bounded by a payload and its
 features; columns with the names of the added ones are replaced.
@@ -14,13 +17,20 @@ features; columns with the names of the added ones are replaced.
 from __future__ import annotations
 
 import struct
+import uuid
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+import pyarrow.fs as pafs
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from lumenrank.llm.common import materialise
 
 RATE_IN, RATE_OUT = 12_000, 8_000
 UP, DOWN, TAPS = 2, 3, 24  # RATE_OUT / RATE_IN, and filter taps a phase
@@ -210,3 +220,70 @@ def audio_features(media: DataFrame) -> DataFrame:
     kept = [c for c in media.columns if c not in added]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in media.select(*kept).schema)
     return media.select(*kept).mapInArrow(compute, f"{schema}, payload binary, n_frames long, patches {PATCHES}, segments {PATCHES}")
+
+
+_TENSORS = ("patches", "segments")
+
+
+def _lists_with(lists: pa.ListArray, tensor_of) -> pa.ListArray:
+    """``lists`` of patches with their tensors in another form."""
+    flat, sizes = lists.flatten(), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    fields = {f: pc.struct_field(flat, f) for f in ("start_ms", "end_ms", "mean_db", "tensor")}
+    fields["tensor"] = tensor_of(fields["tensor"])
+    cuts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(cuts), pa.StructArray.from_arrays(list(fields.values()), list(fields)))
+
+
+def _flat_tensors(tensors: pa.FixedShapeTensorArray) -> pa.ListArray:
+    if tensors.type != pa.fixed_shape_tensor(pa.float32(), [PATCH, MELS]):
+        raise ValueError(f"tensors of {tensors.type}")
+    values = tensors.storage.flatten()
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(tensors) + 1) * PATCH * MELS, pa.int32()), values)
+
+
+def write_features(features: DataFrame, folder: str) -> DataFrame:
+    """Store ``features`` with its columns ``patches`` and ``segments`` in Arrow IPC files under ``folder``; a file for each task.
+
+    Returns the manifest (file, n_rows), a written table. A file is named anew by each attempt of a task, and the
+    manifest lists those of the attempts that counted.
+    """
+    names = features.columns
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        writer, n = None, 0
+        name = f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.arrow"
+        for batch in batches:
+            columns = [_lists_with(c, fixed_shape_tensors) if f in _TENSORS else c for f, c in zip(names, batch.columns)]
+            out = pa.RecordBatch.from_arrays(columns, names)
+            if writer is None:
+                fs, root = pafs.FileSystem.from_uri(folder)
+                fs.create_dir(root, recursive=True)
+                sink = fs.open_output_stream(f"{root}/{name}")
+                writer = pa.ipc.new_file(sink, out.schema, options=pa.ipc.IpcWriteOptions(compression="zstd"))
+            writer.write_batch(out)
+            n += out.num_rows
+        if writer is not None:
+            writer.close()
+            sink.close()
+            yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"]), pa.array([n])], ["file", "n_rows"])
+
+    return materialise(features.mapInArrow(write, "file string, n_rows long"), "feature-manifest")
+
+
+def read_features(spark: SparkSession, manifest: DataFrame, schema: T.StructType) -> DataFrame:
+    """The stored rows, with tensors as flat arrays, as Spark has no type for them."""
+    names = schema.names
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file in batch.column(0).to_pylist():
+                fs, path = pafs.FileSystem.from_uri(file)
+                with fs.open_input_file(path) as source:
+                    stored = pa.ipc.open_file(source)
+                    for k in range(stored.num_record_batches):
+                        rows = stored.get_batch(k)
+                        columns = [_lists_with(c, _flat_tensors) if f in _TENSORS else c for f, c in zip(rows.schema.names, rows.columns)]
+                        yield pa.RecordBatch.from_arrays(columns, names)
+
+    tasks = min(manifest.count(), 16 * spark.sparkContext.defaultParallelism)
+    return manifest.select("file").repartition(max(1, tasks)).mapInArrow(read, schema)

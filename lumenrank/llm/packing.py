@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from lumenrank.llm import tokens
 from lumenrank.llm.common import materialise, power_of_two
 
+MOST_RUNS = 1 << 18  # rows of 48 bytes that are broadcast at most
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -124,13 +125,15 @@ def pack_pieces(pieces: DataFrame, *, capacity: int = 2048, rows_per_bucket: int
     bits = power_of_two(sum(r.n for r in histogram), rows_per_bucket)
     spark = pieces.sparkSession
     placed = spark.createDataFrame(runs, "_length long, _rank long, _n long, _bin long, _each long, _offset long")
+    if len(runs) <= MOST_RUNS:  # about as many as there are lengths, whatever the number of pieces
+        placed = F.broadcast(placed)
     bucket = F.shiftrightunsigned(F.xxhash64("doc_id", "piece", "ids_crc32"), 64 - bits) if bits else F.lit(0).cast("long")
     p = pieces.withColumn("_bucket", bucket)
     before = Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     counts = p.groupBy("_bucket", "length").agg(F.count("*").alias("_m")).withColumn("_before", F.coalesce(F.sum("_m").over(before), F.lit(0))).drop("_m")
     local = F.row_number().over(Window.partitionBy("_bucket", "length").orderBy("doc_id", "piece", "ids_crc32")) - 1
     p = p.join(counts, ["_bucket", "length"]).withColumn("_at", F.col("_before") + local)
-    p = p.join(F.broadcast(placed), (F.col("length") == F.col("_length")) & (F.col("_at") >= F.col("_rank")) & (F.col("_at") < F.col("_rank") + F.col("_n")))
+    p = p.join(placed, (F.col("length") == F.col("_length")) & (F.col("_at") >= F.col("_rank")) & (F.col("_at") < F.col("_rank") + F.col("_n")))
     j = F.col("_at") - F.col("_rank")
     columns = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
     return p.select(*columns, (F.col("_bin") + F.floor(j / F.col("_each"))).cast("long").alias("sequence_id"), (F.col("_offset") + j % F.col("_each") * F.col("length")).cast("long").alias("offset"))

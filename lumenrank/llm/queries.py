@@ -8,17 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenrank.llm import ann, license, linededup, media, mixing, ngram, packing, quality, rans, unigram
-from lumenrank.llm.common import materialise, table
+from lumenrank.llm.common import materialise, scratch_folder, table
 
 
 def op1_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Store each text as a WAVE, read the stored bytes back, digest them and the features computed from them."""
+    """Store each text as a WAVE, read the bytes back, store the features computed from them, read those back and digest both."""
     stored = materialise(media.media_table(table(spark, sf_dir, "documents")), "media")
-    digest = F.concat_ws(":", F.lit("logmel"), "n_frames", F.size("patches"), F.size("segments"), F.lower(F.hex(F.xxhash64("patches", "segments"))))
-    return media.audio_features(stored).select(
+    computed = media.audio_features(stored).select(
         "doc_id", "n_bytes", F.length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
-        F.crc32(F.substring("payload", -32, 32)).alias("tail_crc32"), F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), digest.alias("feature"),
+        F.crc32(F.substring("payload", -32, 32)).alias("tail_crc32"), F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "n_frames", "patches", "segments",
     )
+    manifest = media.write_features(computed, scratch_folder(spark, "audio-features"))
+    digest = F.concat_ws(":", F.lit("logmel"), "n_frames", F.size("patches"), F.size("segments"), F.lower(F.hex(F.xxhash64("patches", "segments"))))
+    return media.read_features(spark, manifest, computed.schema).select(*computed.columns[:7], digest.alias("feature"))
 
 
 def op2_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,11 +22,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenrank.llm import tokens
-from lumenrank.llm.common import scratch_path
+from lumenrank.llm.common import materialise, scratch_folder
 
 MAGIC, LANES, BLOCK = b"LRNS0001", 64, 1 << 16
 _LOW, _U = np.uint64(1 << 31), np.uint64
@@ -186,7 +186,7 @@ class TokenFile:
 def write_token_files(docs: DataFrame, folder: str, *, vocabulary: str | None = None, end_id: int = 2, tokens_per_file: int = 6_000_000) -> DataFrame:
     """Encode every whole text of ``docs`` into files under ``folder``, in ascending doc_id order.
 
-    Returns the manifest, a row per file, as a local table: file (in order), documents, tokens, bytes.
+    Returns the manifest, a written table with a row per file: its place in the order, documents, tokens, bytes.
     """
     vocabulary = vocabulary or tokens.default_vocabulary()
 
@@ -225,16 +225,16 @@ def write_token_files(docs: DataFrame, folder: str, *, vocabulary: str | None =
             yield flush()
 
     ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
-    rows = ordered.mapInArrow(write, MANIFEST).collect()  # a row for each file of some 10 MB
-    return docs.sparkSession.createDataFrame(sorted(rows, key=lambda r: (r.part, r.seq)), MANIFEST)
+    return materialise(ordered.mapInArrow(write, MANIFEST), "token-manifest")
 
 
 def read_token_files(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     """doc_id, start, ids (little-endian uint32, binary), n_tokens, ids_crc32 of each document in the files."""
-    before, files = 0, []
-    for r in manifest.orderBy("part", "seq").collect():
-        files.append((r.file, before))
-        before += r.n_tokens
+    # tokens before each file: of the parts before its own, a row per part, and of its part's files before it
+    parts = manifest.groupBy("part").agg(F.sum("n_tokens").alias("n"))
+    parts = parts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    inside = F.sum("n_tokens").over(Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
+    files = manifest.join(parts, "part").select("file", (F.col("before") + F.coalesce(inside, F.lit(0))).cast("long").alias("first"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -259,13 +259,11 @@ def read_token_files(spark: SparkSession, manifest: DataFrame) -> DataFrame:
                 if rows:
                     yield out()
 
-    schema = "doc_id long, start long, ids binary, n_tokens long, ids_crc32 long"
-    if not files:
-        return spark.createDataFrame([], schema)
-    listed = spark.createDataFrame(files, "file string, first long").repartition(len(files))
-    return listed.mapInArrow(read, schema)
+    tasks = min(manifest.count(), 16 * spark.sparkContext.defaultParallelism)  # beyond that a task reads several files
+    return files.repartition(max(1, tasks)).mapInArrow(read, "doc_id long, start long, ids binary, n_tokens long, ids_crc32 long")
 
 
 def token_folder(spark: SparkSession) -> str:
-    path = scratch_path(spark, "token-files")
+    """A new folder for token files, deleted when the interpreter ends."""
+    path = scratch_folder(spark, "token-files")
     return path if "://" in path or path.startswith("/") else path.replace("file:", "")
