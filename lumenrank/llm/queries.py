@@ -123,19 +123,18 @@ def _op6() -> str:
     """Every block against every template, with no filter."""
     places = [f"list_filter(range(0, len(w) - {len(p.split()) - 1}), lambda i: " + " AND ".join(f"w[i + {k + 1}] = '{x}'" for k, x in enumerate(p.split())) + ")" for p, _ in license.PHRASES]
     base = ", ".join(f"CASE WHEN len(p{k}) > 0 THEN '{label}' END" for k, (_, label) in enumerate(license.PHRASES))
-    templates = ", ".join(f"('{label}', {sorted(set(t.split()))})" for label, t in license.TEMPLATES)
+    templates = ", ".join(f"('{label}', {sorted(set(license.words(t)))}, {license.block_size(len(license.words(t)))})" for label, t in license.TEMPLATES)
     words = r"regexp_extract_all(translate({}, '%s', '%s'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')" % (license.UPPER, license.LOWER)
     return f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 words AS (SELECT r, doc_id, text, {words.format("text")} AS w FROM d),
 base AS (SELECT *, {", ".join(f"{p} AS p{k}" for k, p in enumerate(places))} FROM words),
-lines AS (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d),
-lw AS (SELECT r, {words.format("line")} AS w FROM lines),
-starts AS (SELECT r, w, unnest(range(0, greatest(len(w) - {license.STEP}, 1), {license.STEP})) AS first FROM lw),
-blocks AS (SELECT r, list_distinct(w[first + 1 : first + {license.BLOCK}]) AS b FROM starts),
-templates AS (SELECT * FROM (VALUES {templates}) AS t(label, words)),
+templates AS (SELECT * FROM (VALUES {templates}) AS t(label, words, size)),
+sizes AS (SELECT DISTINCT size FROM templates),
+starts AS (SELECT r, size, w, unnest(range(0, greatest(len(w) - size // 2, 1), size // 2)) AS first FROM words, sizes),
+blocks AS (SELECT r, size, list_distinct(w[first + 1 : first + size]) AS b FROM starts),
 met AS (
-  SELECT r, label, len(list_intersect(b, words)) AS o, len(words) AS n FROM blocks, templates
+  SELECT r, label, len(list_intersect(b, words)) AS o, len(words) AS n FROM blocks JOIN templates USING (size)
   WHERE 100 * len(list_intersect(b, words)) >= {license.CONTAINMENT_PERCENT} * len(words)),
 found AS (SELECT r, list(DISTINCT label) AS labels, max(round(o / n, 6)) AS containment FROM met GROUP BY r),
 named AS (SELECT *, list_filter([{base}], lambda x: x IS NOT NULL) AS base, list_concat(list_concat(p0, p1), p2) AS places FROM base)
