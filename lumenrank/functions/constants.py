@@ -107,3 +107,10 @@ FEATURE_SETS = {
     50: PHYSICO_WIDE + ALLELE_COLUMNS,
     166: PHYSICO + ALLELE_COLUMNS + POCKET,
 }
+
+#: Parts of an organism's lower-cased name and the panel they mean, in the order they are tried.
+ORGANISM_VIRUSES = (
+    ("human herpesvirus 4", "EBV"), ("epstein barr", "EBV"), ("epstein-barr", "EBV"), ("ebv", "EBV"),
+    ("human papillomavirus type 16", "HPV16"), ("hpv16", "HPV16"), ("hpv-16", "HPV16"),
+    ("human papillomavirus type 11", "HPV11"), ("hpv11", "HPV11"), ("hpv-11", "HPV11"),
+)

@@ -62,6 +62,12 @@ def strain(organism: Column, virus: Column) -> Column:
     return F.when(virus == "EBV", first_match(organism, K.EBV_STRAINS)).when(virus.isin("HPV16", "HPV11"), first_match(organism, K.HPV_STRAINS))
 
 
+def virus(organism: Column, hpv11: bool = True) -> Column:
+    """Panel name of an organism's name; null for others, and for HPV11 where it is left out."""
+    name = F.lower(organism)
+    return first_match(name, [(k, v) for k, v in K.ORGANISM_VIRUSES if hpv11 or v != "HPV11"])
+
+
 def file_label(file: Column) -> Column:
     return first_match(file, [("positive", "1"), ("negative", "0")]).cast("int")
 

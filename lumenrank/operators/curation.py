@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenrank.functions import sequence
@@ -88,3 +88,14 @@ def release_gates(metrics: DataFrame, threshold: DataFrame, deltas: DataFrame, c
     for name in out.columns:
         every = every & F.col(name)
     return out.withColumn("all_passed", every)
+
+
+def pool_manifest(df: DataFrame, pool: str, key: str, value: str, forced: Column, n: int) -> DataFrame:
+    """A row per pool: distinct keys, the size of its first ``n`` with the forced rows, the value at rank n, and the forced rows in it and beyond its first n."""
+    w = Window.partitionBy(pool).orderBy(F.desc(value), key)
+    r = df.withColumns({"_forced": F.coalesce(forced, F.lit(False)), "_rn": F.row_number().over(w)})
+    top = F.col("_rn") <= n
+    return r.groupBy(pool).agg(
+        F.count_distinct(key).alias("n_unique"), F.count_if(top | F.col("_forced")).alias("pool_size"), F.lit(n).alias("top_n"), F.max(F.when(F.col("_rn") == n, F.col(value))).alias("value_at_rank_n"),
+        F.count_if("_forced").alias("gold_in_pool"), F.count_if(F.col("_forced") & ~top).alias("gold_forced"),
+    )

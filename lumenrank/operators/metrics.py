@@ -9,6 +9,7 @@ step, and are cut by ascending key in top-k% picks.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -110,18 +111,60 @@ def reliability(df: DataFrame, p: str, label: str, bins: int = 10) -> DataFrame:
     return df.groupBy(at.alias("bin")).agg(F.avg(p).alias("mean_predicted"), F.avg(F.col(label).cast("double")).alias("observed"), F.count("*").alias("n"))
 
 
-def spearman(df: DataFrame, pairs: Sequence[tuple[str, str]], least: int = 5) -> DataFrame:
-    """a, b, rho, n of each pair of columns, over rows with both: Pearson correlation of average ranks."""
+def spearman(df: DataFrame, pairs: Sequence[tuple[str, str]], least: int = 5, p_values: bool = False) -> DataFrame:
+    """a, b, rho, n of each pair of columns, over rows with both: Pearson correlation of average ranks.
+
+    Columns without nulls are ranked once each and correlated in one aggregation; pairs with nulls are
+    ranked over their complete rows. ``p_values`` adds the two-sided p of Student's t with n - 2 degrees.
+    """
     from lumenrank.operators.ranking import rank_ties
 
-    out = None
-    for a, b in pairs:
-        both = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).cast("double").alias("_a"), F.col(b).cast("double").alias("_b"))
-        r = rank_ties(both, "_a", descending=False).select("_b", F.col("rank_average").alias("_ra"))
-        r = rank_ties(r, "_b", descending=False).select("_ra", F.col("rank_average").alias("_rb"))
-        one = r.agg(F.count("*").alias("n"), F.corr("_ra", "_rb").alias("rho")).select(F.lit(a).alias("a"), F.lit(b).alias("b"), F.when(F.col("n") >= least, F.col("rho")).alias("rho"), "n")
-        out = one if out is None else out.unionByName(one)
-    return out
+    columns = sorted({c for pair in pairs for c in pair})
+    d = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    gaps = d.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns]).first()
+
+    def correlated(rows: DataFrame, some: Sequence[tuple[str, str]]) -> DataFrame:
+        names = sorted({c for pair in some for c in pair})
+        for c in names:
+            rows = rank_ties(rows.select(*[k for k in rows.columns if k not in ("rank_min", "rank_average", "rank_average_floor")]), c, descending=False).withColumn(c, F.col("rank_average"))
+        out = rows.agg(F.count("*").alias("n"), F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.corr(a, b).alias("rho")) for a, b in some]).alias("r"))
+        return out.select("n", F.inline("r")).select("a", "b", F.when(F.col("n") >= least, F.col("rho")).alias("rho"), "n")
+
+    whole = [p for p in pairs if not gaps[p[0]] and not gaps[p[1]]]
+    parts = ([correlated(d, whole)] if whole else []) + [correlated(d.select(*dict.fromkeys(p)).dropna(), [p]) for p in pairs if p not in whole]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    p = F.udf(lambda rho, n: None if rho is None else student_p(rho, n), "double")  # a row for each pair of columns
+    return out.withColumn("p_value", p("rho", "n")) if p_values else out
+
+
+def student_p(rho: float, n: int) -> float:
+    """Two-sided p of a correlation of n pairs: the regularised incomplete beta function of 1 - rho**2."""
+    if n < 3:
+        return math.nan
+    x, a, b = 1 - min(1.0, rho * rho), (n - 2) / 2, 0.5
+    if x <= 0:
+        return 0.0
+    flip = x > (a + 1) / (a + b + 2)
+    if flip:
+        x, a, b = 1 - x, b, a
+    if x <= 0:
+        return 1.0
+    # Lentz's continued fraction
+    tiny, c, d = 1e-300, 1.0, 1 - (a + b) * x / (a + 1)
+    d = 1 / (d if abs(d) > tiny else tiny)
+    h = d
+    for m in range(1, 500):
+        for k in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d, c = 1 + k * d, 1 + k / c
+            d, c = 1 / (d if abs(d) > tiny else tiny), (c if abs(c) > tiny else tiny)
+            h *= d * c
+        if abs(d * c - 1) < 1e-15:
+            break
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x))
+    value = front * h / a
+    return 1 - value if flip else value
 
 
 def threshold_candidates(df: DataFrame, score: str, label: str, group: str, least: int = 15) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumenrank.functions.scalar import hash_unit, logit
+from lumenrank.operators.ranking import prefix_sums
 
 
 def stratified_folds(df: DataFrame, key: str, strata: Sequence[str], k: int = 5, seed: int = 42) -> DataFrame:
@@ -56,6 +57,36 @@ def out_of_fold(df: DataFrame, pipeline: Pipeline, method: str, k: int = 5) -> D
     return out
 
 
+def save_model(model: PipelineModel, path: str, features: Sequence[str], threshold: float | None = None) -> None:
+    """A fitted pipeline with its feature columns and operating threshold, under one folder of any file system."""
+    from pyspark.sql import SparkSession
+
+    model.write().overwrite().save(f"{path}/model")
+    meta = SparkSession.active().createDataFrame([(list(features), threshold)], "features array<string>, threshold double")
+    meta.write.mode("overwrite").json(f"{path}/columns")
+
+
+def load_model(path: str) -> tuple[PipelineModel, list[str], float | None]:
+    """The pipeline, its feature columns and its threshold."""
+    from pyspark.sql import SparkSession
+
+    r = SparkSession.active().read.schema("features array<string>, threshold double").json(f"{path}/columns").first()
+    return PipelineModel.load(f"{path}/model"), list(r.features), r.threshold
+
+
+def specific_and_pooled(df: DataFrame, by: str, make: Callable[[], Pipeline], label: str = "label", k: int = 5) -> DataFrame:
+    """Out-of-fold scores of each group by a model of its own and by the pooled one, tagged specific or pooled.
+
+    Groups with fewer than ``k`` rows of a class are left to the pooled model, which has no row of theirs here.
+    """
+    counts = df.filter(F.col(by).isNotNull()).groupBy(by).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n"))
+    values = sorted(r[by] for r in counts.filter((F.col("p") >= k) & (F.col("n") >= k)).collect())
+    out = out_of_fold(df, make(), "pooled", k).filter(F.col(by).isin(values))
+    for v in values:
+        out = out.unionByName(out_of_fold(df.filter(F.col(by) == v), make(), "specific", k))
+    return out
+
+
 def importances(model: PipelineModel, features: Sequence[str]) -> DataFrame:
     from pyspark.sql import SparkSession
 
@@ -67,9 +98,10 @@ def permutation_importance(model: PipelineModel, df: DataFrame, features: Sequen
     """Loss of the metric when a feature's values go to other rows, by the order of a hash."""
     base = metric(score(model, df))
     out = []
+    a = prefix_sums(df.withColumn("_one", F.lit(1)), key, {"_i": "_one"}).drop("_one")
     for f in features:
-        a = df.withColumn("_i", F.row_number().over(Window.orderBy(key)))
-        b = df.select(F.col(f).alias("_v"), F.row_number().over(Window.orderBy(hash_unit(F.lit(seed), F.lit(f), F.col(key)), key)).alias("_i"))
+        b = df.select(F.col(f).alias("_v"), key, hash_unit(F.lit(seed), F.lit(f), F.col(key)).alias("_h"), F.lit(1).alias("_one"))
+        b = prefix_sums(b, "_h", {"_i": "_one"}, tie=key).select("_v", "_i")
         out.append((f, base - metric(score(model, a.join(b, "_i").withColumn(f, F.col("_v")).drop("_i", "_v")))))
     return out
 
@@ -111,27 +143,38 @@ def prototype_labels(df: DataFrame, score_col: str, frozen: bool = False) -> Dat
     return df.crossJoin(F.broadcast(df.agg(F.median(score_col).alias("_m")))).withColumn("label", (F.col(score_col) >= F.col("_m")).cast("int")).drop("_m")
 
 
-def dense_scores(df: DataFrame, features: Sequence[str], layers: Sequence[tuple], mean: Sequence[float], scale: Sequence[float], *, passes: int = 0, dropout: float = 0.0, seed: int = 42) -> DataFrame:
+def dense_scores(df: DataFrame, features: Sequence[str], layers: Sequence[tuple], mean: Sequence[float], scale: Sequence[float], *, passes: int = 0, dropout: float = 0.0, seed: int = 42, key: str | None = None) -> DataFrame:
     """Scores of an exported relu network (weights [in][out], bias) over standardised features, in Arrow batches.
 
-    With ``passes``, also the mean and deviation over seeded dropout masks.
+    With ``passes``, also the mean and deviation over dropout masks, drawn for each row and pass from the seed
+    and the row's ``key`` (or its features), so they do not depend on batches or partitions.
     """
     import numpy as np
+    import pandas as pd
+
+    def uniform(rows, i, layer, width):
+        """[rows, width] numbers in [0, 1) by a 64-bit mixer of row, seed, pass, layer and unit."""
+        with np.errstate(over="ignore"):
+            x = rows[:, None] + np.uint64(0x9E3779B97F4A7C15) * (np.arange(width, dtype=np.uint64) + np.uint64(((seed * 1009 + i) * 31 + layer) * 65537))
+            for shift, odd in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+                x = (x ^ (x >> np.uint64(shift))) * np.uint64(odd)
+        return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(float) / (1 << 53)
 
-    def forward(x, rng=None):
+    def forward(x, rows=None, i=0):
         h = x
-        for i, (w, b) in enumerate(layers):
+        for layer, (w, b) in enumerate(layers):
             h = h @ np.asarray(w) + np.asarray(b)
-            if i < len(layers) - 1:
+            if layer < len(layers) - 1:
                 h = np.maximum(h, 0)
-                if rng is not None and dropout:
-                    h = h * (rng.random(h.shape[1]) >= dropout) / (1 - dropout)
+                if rows is not None and dropout:
+                    h = h * (uniform(rows, i, layer, h.shape[1]) >= dropout) / (1 - dropout)
         return 1 / (1 + np.exp(-np.clip(h[:, 0], -500, 500)))
 
     def run(batches):
         for b in batches:
             x = (b[list(features)].to_numpy(float) - np.asarray(mean)) / (np.asarray(scale) + 1e-10)
-            many = np.stack([forward(x, np.random.default_rng(seed + i)) for i in range(passes)]) if passes else np.full((1, len(b)), np.nan)
+            rows = pd.util.hash_pandas_object(b[[key] if key else list(features)], index=False).to_numpy(np.uint64)
+            many = np.stack([forward(x, rows, i) for i in range(passes)]) if passes else np.full((1, len(b)), np.nan)
             yield b.assign(score=forward(x), mc_score=many.mean(0), uncertainty_std=many.std(0))
 
     schema = T.StructType([*df.schema.fields, *(T.StructField(c, T.DoubleType()) for c in ("score", "mc_score", "uncertainty_std"))])

@@ -1,8 +1,10 @@
 """Ranks and prefix sums over all rows without sending them to one task.
 
-A value's range bucket comes from approximate quantiles (a few dozen numbers on the driver). Bucket
+A row's range bucket comes from cut points in the order itself, (value, tie), chosen from a hashed
+sample of some thousand distinct pairs; so one value that many rows have is cut by its ties. Bucket
 totals are added up in order, and a window inside each bucket does the rest. Which bucket a row is in
-depends on its value alone, so recomputed tasks agree, and the result is exact whatever the quantiles.
+depends on its value and tie alone, so recomputed tasks agree, and the result is exact whatever the
+cuts. The number of buckets follows the number of rows, up to ``MOST_BUCKETS``.
 """
 
 from __future__ import annotations
@@ -12,27 +14,52 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 64
-
-
-def _bucketed(df: DataFrame, value: str, descending: bool) -> DataFrame:
-    cuts = sorted(set(df.approxQuantile(value, [i / BUCKETS for i in range(1, BUCKETS)], 0.005)))
-    below = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(value))) if cuts else F.lit(0)
-    return df.withColumn("_bucket", -below if descending else below)
-
-
-def prefix_sums(df: DataFrame, value: str, sums: Mapping[str, str], *, by: Sequence[str] = (), descending: bool = False, ties: Sequence[Column] = (), spread: bool = True) -> DataFrame:
+BUCKET_ROWS, MOST_BUCKETS, SAMPLED = 2048, 256, 16
+
+
+def _order_key(df: DataFrame, value: str, descending: bool, tie: str | None) -> Column:
+    """A struct whose ascending order is that of the rows: nulls first, or last and values negated where it descends."""
+    v = F.col(value)
+    nan = F.isnan(v) if df.schema[value].dataType.typeName() in ("double", "float") else F.lit(False)
+    parts = [v.isNull(), ~nan, -v] if descending else [v.isNotNull(), nan, v]
+    parts += [F.col(tie).isNotNull(), F.col(tie)] if tie else []
+    return F.struct(*[p.alias(f"k{i}") for i, p in enumerate(parts)])
+
+
+def _bucketed(df: DataFrame, value: str, descending: bool, tie: str | None = None) -> DataFrame:
+    n = df.count()
+    buckets = max(1, min(MOST_BUCKETS, n // BUCKET_ROWS))
+    if buckets == 1:
+        return df.withColumn("_bucket", F.lit(0))
+    key, names = _order_key(df, value, descending, tie), [value, *([tie] if tie else [])]
+    every = max(1, n // (SAMPLED * buckets))
+    some = df.select(*names).filter(F.pmod(F.xxhash64(*names), F.lit(every)) == 0).distinct()
+    rows = [r[0] for r in some.select(key.alias("k")).orderBy("k").limit(4 * SAMPLED * MOST_BUCKETS).collect()]
+    kind = some.select(key.alias("k")).schema["k"].dataType
+    picked = sorted({len(rows) * i // buckets for i in range(1, buckets)}) if rows else []
+    if not picked:
+        return df.withColumn("_bucket", F.lit(0))
+    cuts = F.array(*[F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(rows[i], kind.fields)]) for i in picked])
+    steps = F.array(*[F.lit(1 << k) for k in range(len(picked).bit_length() - 1, -1, -1)])
+    # a binary search: as many cuts as are below the key
+    below = F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= len(picked)) & (F.get(cuts, at + step - 1) < key), at + step).otherwise(at))
+    return df.withColumn("_bucket", below)
+
+
+def prefix_sums(df: DataFrame, value: str, sums: Mapping[str, str], *, by: Sequence[str] = (), descending: bool = False, ties: Sequence[Column] = (), tie: str | None = None, spread: bool = True) -> DataFrame:
     """Add, per output name, the sum of a column over the rows before each row, by ``value`` and ``ties``, within ``by``.
 
+    ``tie``: a column that orders equal values (ascending); buckets then cut through them.
     ``spread`` False is for groups that are known to be small: one window each.
     """
+    ties = [F.col(tie).asc(), *ties] if tie else ties
     if not spread and by:
         line = Window.partitionBy(*by).orderBy(F.col(value).desc() if descending else F.col(value).asc(), *ties).rowsBetween(Window.unboundedPreceding, -1)
         return df.select("*", *[F.coalesce(F.sum(c).over(line), F.lit(0)).alias(o) for o, c in sums.items()])
-    b = _bucketed(df, value, descending)
+    b = _bucketed(df, value, descending, tie)
     order = [F.col(value).desc() if descending else F.col(value).asc(), *ties]
     inside = Window.partitionBy(*by, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    line = Window.partitionBy(*by).orderBy("_bucket") if by else Window.orderBy("_bucket")  # at most BUCKETS rows a group
+    line = Window.partitionBy(*by).orderBy("_bucket") if by else Window.orderBy("_bucket")  # at most MOST_BUCKETS rows a group
     totals = b.groupBy(*by, "_bucket").agg(*[F.sum(c).alias(f"_t_{o}") for o, c in sums.items()])
     before = line.rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(*by, "_bucket", *[F.coalesce(F.sum(f"_t_{o}").over(before), F.lit(0)).alias(f"_b_{o}") for o in sums])
@@ -52,7 +79,7 @@ def global_row_number(df: DataFrame, name: str, *order: Column) -> DataFrame:
 def rank_contiguous(df: DataFrame, score: str, tie: str, name: str = "rank") -> DataFrame:
     """1 to n by (score descending, tie ascending)."""
     one = df.withColumn("_one", F.lit(1))
-    return prefix_sums(one, score, {name: "_one"}, descending=True, ties=[F.col(tie).asc()]).drop("_one").withColumn(name, (F.col(name) + 1).cast("long"))
+    return prefix_sums(one, score, {name: "_one"}, descending=True, tie=tie).drop("_one").withColumn(name, (F.col(name) + 1).cast("long"))
 
 
 def rank_ties(df: DataFrame, score: str, *, descending: bool = True) -> DataFrame:

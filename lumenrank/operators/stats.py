@@ -1,7 +1,8 @@
 """Resampling, tests and decision rules.
 
-A bootstrap never multiplies rows: resample b draws row i as often as a hash says (Poisson-free,
-index draws are made per slot and counted), and every metric is computed grouped by b.
+A bootstrap draws n rows with replacement for each replicate: slot j of replicate b takes the row whose
+number a hash of (seed, b, j) gives, and every metric is computed grouped by b. So it makes n rows for
+each replicate, spread over all tasks; it is for evaluation sets, not for the candidates they rank.
 """
 
 from __future__ import annotations
@@ -12,16 +13,17 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenrank.functions.scalar import hash_unit
+from lumenrank.operators.ranking import prefix_sums
 from lumenrank.operators.relational import contained_in_any
 
 
 def resampled(df: DataFrame, key: str, replicates: int, seed: int = 42) -> DataFrame:
     """b, and the rows of ``df`` that each of n draws picks: slot j of replicate b takes row hash(seed, b, j) mod n.
 
-    The same draws in any engine with md5. ``df`` is an evaluation set; its row numbers are one window.
+    The same draws in any engine with md5. Rows are numbered by ``key`` in range buckets.
     """
     n = df.agg(F.count("*").alias("_n"))
-    at = df.withColumn("_at", F.row_number().over(Window.orderBy(key)) - 1)
+    at = prefix_sums(df.withColumn("_one", F.lit(1)), key, {"_at": "_one"}).drop("_one")
     slots = at.select(F.col("_at").alias("_slot")).crossJoin(F.broadcast(n)).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
     draws = slots.select("b", "_slot", (hash_unit(F.lit(seed), F.col("b"), F.col("_slot")) % F.col("_n")).alias("_at"))
     return draws.join(at, "_at").drop("_at")

@@ -547,9 +547,13 @@ def row_hashes(spark, sf_dir):
     return t(spark, sf_dir, "nation").select("n_nationkey", F.sha2(F.concat_ws("|", F.col("n_nationkey").cast("string"), "n_name", F.col("n_regionkey").cast("string")), 256).alias("row_hash"))
 
 
-@query()
+_PIECES = ", ".join(f"CAST(sum(CAST(('0x' || substr(h, {1 + 15 * i}, 15)) AS HUGEINT)) AS VARCHAR)" for i in range(4))
+
+
+@query(f"""WITH r AS (SELECT sha256('{{"o_custkey":' || o_custkey || ',"o_orderkey":' || o_orderkey || ',"o_orderstatus":"' || o_orderstatus || '"}}') AS h FROM orders)
+  SELECT count(*) AS n_rows, sha256(concat_ws('|', CAST(count(*) AS VARCHAR), {_PIECES})) AS digest FROM r""")
 def content_hash(spark, sf_dir):
-    return governance.content_hash(t(spark, sf_dir, "orders"))
+    return governance.content_hash(t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"))
 
 
 # --- metrics -----------------------------------------------------------------------------------
@@ -677,29 +681,32 @@ def threshold_search(spark, sf_dir):
 
 # --- resampling, tests, rules ------------------------------------------------------------------
 
-_BOOT = f"""{LABELLED}, numbered AS (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS slot, count(*) OVER () AS n FROM labelled),
-  draws AS (SELECT b, slot, {HASH.format('concat_ws(chr(124), 42, b, slot)')} % n AS pick FROM numbered, (SELECT unnest(range(0, 20)) AS b)),
+def _boot_sql(replicates: int) -> str:
+    return f"""{LABELLED}, numbered AS (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS slot, count(*) OVER () AS n FROM labelled),
+  draws AS (SELECT b, slot, {HASH.format('concat_ws(chr(124), 42, b, slot)')} % n AS pick FROM numbered, (SELECT unnest(range(0, {replicates})) AS b)),
   rs AS (SELECT draws.b, draws.slot AS doc_id, a.score, a.label, a.lang FROM draws JOIN numbered a ON a.slot = draws.pick)"""
+
+
 _ISSR = "SELECT b, avg(CASE WHEN rn <= k THEN label END) AS issr, avg(label) AS rate FROM (SELECT b, label, row_number() OVER (PARTITION BY b ORDER BY score DESC, doc_id) AS rn, greatest(1, floor(count(*) OVER (PARTITION BY b) * 10 / 100)) AS k FROM rs) GROUP BY b"
 
 
-def _boot(spark, sf_dir):
-    r = stats.resampled(labelled(spark, sf_dir).drop("source"), "doc_id", 20).withColumnRenamed("_slot", "slot")
+def _boot(spark, sf_dir, replicates):
+    r = stats.resampled(labelled(spark, sf_dir).drop("source"), "doc_id", replicates).withColumnRenamed("_slot", "slot")
     m = metrics.ranked_metrics(r, ["b"], "score", "label", "slot", spread=False)
     return m.select("b", F.col("issr_10").alias("issr"), (F.col("n_positive") / F.col("n")).alias("rate"))
 
 
-@query(f"""WITH {_BOOT}, m AS ({_ISSR}), d AS (SELECT issr - rate AS d FROM m)
+@query(f"""WITH {_boot_sql(2000)}, m AS ({_ISSR}), d AS (SELECT issr - rate AS d FROM m)
   SELECT count(*) AS n_boot, round(avg(d), 8) AS mean, round(quantile_cont(d, 0.025), 8) AS ci_low, round(quantile_cont(d, 0.975), 8) AS ci_high,
          least(1.0, 2 * least(avg(CAST(d <= 0 AS INT)), avg(CAST(d >= 0 AS INT)))) AS p_value FROM d""")
 def bootstrap_diff_ci(spark, sf_dir):
-    return _rounded(stats.interval(_boot(spark, sf_dir).withColumn("d", F.col("issr") - F.col("rate")), "d"))
+    return _rounded(stats.interval(_boot(spark, sf_dir, 2000).withColumn("d", F.col("issr") - F.col("rate")), "d"))
 
 
-@query(f"""WITH {_BOOT}, m AS ({_ISSR}), d AS (SELECT issr / rate AS d FROM m WHERE rate > 0)
+@query(f"""WITH {_boot_sql(5000)}, m AS ({_ISSR}), d AS (SELECT issr / rate AS d FROM m WHERE rate > 0)
   SELECT count(*) AS n_boot, round(avg(d), 8) AS mean, round(quantile_cont(d, 0.025), 8) AS ci_low, round(quantile_cont(d, 0.975), 8) AS ci_high FROM d""")
 def bootstrap_ratio_ci(spark, sf_dir):
-    m = _boot(spark, sf_dir)
+    m = _boot(spark, sf_dir, 5000)
     return _rounded(stats.interval(m.withColumn("d", F.when(F.col("rate") > 0, F.col("issr") / F.col("rate"))), "d").drop("p_value"))
 
 
@@ -849,3 +856,6 @@ def sliding_window(spark, sf_dir):
   SELECT user_id, min(ts) AS window_start, max(ts) + INTERVAL '2 hours' AS window_end, count(*) AS n, round(sum(value), 4) AS total FROM s GROUP BY user_id, s""")
 def session_window(spark, sf_dir):
     return windows.sessions(t(spark, sf_dir, "events"), "user_id", "2 hours").withColumn("total", F.round("total", 4))
+
+
+import lumenrank.plans.exchange  # noqa: E402, F401  adds the queries of sources and sinks to this registry

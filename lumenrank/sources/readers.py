@@ -42,6 +42,18 @@ def _names(line: str, sep: str) -> list[str]:
     return [c.strip() for c in next(csv.reader([line], delimiter=sep))]
 
 
+def lines_below(spark: SparkSession, path: str, n: int) -> DataFrame:
+    """The lines (value) of each file after its first ``n``, told by their place, so an equal line further down stays.
+
+    A file's first block has its lines in order, so the smallest row number there is that of its first line.
+    """
+    if not n:
+        return spark.read.text(path)
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_p"), F.col("_metadata.file_block_start").alias("_s"), F.monotonically_increasing_id().alias("_i"))
+    firsts = lines.filter("_s = 0").groupBy("_p").agg(F.min("_i").alias("_m"))
+    return lines.join(firsts, "_p").filter((F.col("_s") != 0) | (F.col("_i") >= F.col("_m") + n)).select("value")
+
+
 def table_below(spark: SparkSession, path: str, skip: int, sep: str = ",", levels: int = 1) -> DataFrame:
     """Delimited text whose header follows ``skip`` lines; with two levels the names are joined by a dot.
 
@@ -60,8 +72,7 @@ def table_below(spark: SparkSession, path: str, skip: int, sep: str = ",", level
     for n in names:
         seen[n] = seen.get(n, 0) + 1
         unique.append(n if seen[n] == 1 else f"{n}.{seen[n] - 1}")
-    drop = set(lines)
-    raw = spark.read.text(path).filter(~F.col("value").isin(*drop))
+    raw = lines_below(spark, path, skip + levels)
     return raw.select(F.from_csv("value", ", ".join(f"`{n}` string" for n in unique), {"sep": sep}).alias("r")).select("r.*")
 
 
@@ -69,7 +80,7 @@ def positional(spark: SparkSession, path: str, columns: dict[int, str], skip: in
     """Chosen columns by position from a table without a usable header."""
     lines = head_lines(spark, path, skip + 1)
     width = max(len(_names(lines[-1], sep)) if lines else 0, max(columns) + 1)
-    raw = spark.read.text(path).filter(~F.col("value").isin(*lines[:skip])) if skip else spark.read.text(path)
+    raw = lines_below(spark, path, skip)
     kind = ", ".join(f"_c{i} string" for i in range(width))
     return raw.select(F.from_csv("value", kind, {"sep": sep}).alias("r")).select(*[F.col(f"r._c{i}").alias(n) for i, n in columns.items()])
 
