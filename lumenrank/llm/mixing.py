@@ -6,8 +6,9 @@ range) places every document on its source's line of words, and the source's exa
 
 Defined results: null or empty texts have size 0 and take nothing; a null source is a source of its
 own, last in order; ties of keys (the same id and text repeated) are cut in any order, which gives
-the same rows; an empty table gives an empty result; other columns pass through when carried, and
-columns with the names of the added ones are replaced.
+the same rows; an empty table gives an empty result; other columns pass through when carried, whatever
+their names, but for those of the added columns, which are replaced. The mix itself keeps every column
+of the documents.
 """
 
 from __future__ import annotations
@@ -46,7 +47,8 @@ def mix_sources(docs: DataFrame, *, weights: Sequence[int] = (5, 2, 1), share_pe
     """doc_id, source, key, size, source_size, target, taken (and ``carry``) of each row of ``docs``."""
     key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"), F.coalesce(F.col("text"), F.lit(""))).cast("binary"))
     carry = [c for c in carry if c not in ("doc_id", "source", "key", "size", "source_size", "target", "taken")]
-    sized = docs.select("doc_id", "source", *carry, word_count(F.col("text")).alias("size"), key.alias("key"))
+    held = [F.struct(*[F.col(f"`{c}`") for c in carry]).alias("_carried")] if carry else []
+    sized = docs.select("doc_id", "source", *held, word_count(F.col("text")).alias("size"), key.alias("key"))
     narrow = materialise(sized.select("doc_id", "source", "size", "key"), "mix-sizes")
     bits = power_of_two(narrow.count(), rows_per_range)
 
@@ -67,7 +69,7 @@ def mix_sources(docs: DataFrame, *, weights: Sequence[int] = (5, 2, 1), share_pe
     budget, whole = F.floor("target"), F.floor(F.floor("target") / F.greatest(F.col("source_size"), F.lit(1)))
     rest = budget - whole * F.col("source_size")
     taken = whole * F.col("size") + F.least(F.col("size"), F.greatest(F.lit(0), rest - start))
-    return rows.select("doc_id", "source", *carry, "key", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return rows.select("doc_id", "source", *[F.col(f"_carried.`{c}`") for c in carry], "key", "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
@@ -75,12 +77,15 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
 
     The one document of a source that its budget cuts gives a last copy with its first words only.
     """
-    mixed = mix_sources(docs, carry=[c for c in docs.columns if c not in ("doc_id", "source")], **options)
+    whole = docs.select("doc_id", "source", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    m = mix_sources(whole, carry=["row"], **options).filter("taken > 0").select("row", "size", "taken")
     copies = F.ceil(F.col("taken") / F.greatest(F.col("size"), F.lit(1)))
-    m = mixed.filter("taken > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), copies.cast("int"))))
-    words = F.least(F.col("size"), F.col("taken") - (F.col("_copy") - 1) * F.col("size"))
-    cut = F.expr(f"array_join(slice(regexp_extract_all(text, r'{WORD}', 0), 1, cast(_words as int)), ' ')")
-    m = m.withColumn("_words", words).withColumn("text", F.when(F.col("_words") < F.col("size"), cut).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        m = m.withColumn("n_chars", F.when(F.col("_words") < F.col("size"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return m.select(*docs.columns)
+    m = m.withColumn("copy", F.explode(F.sequence(F.lit(1), copies.cast("int"))))
+    m = m.withColumn("words", F.least(F.col("size"), F.col("taken") - (F.col("copy") - 1) * F.col("size")))
+    cut = F.col("words") < F.col("size")
+    first_words = F.expr(f"array_join(slice(regexp_extract_all(row.text, r'{WORD}', 0), 1, cast(words as int)), ' ')")
+    m = m.select("row", cut.alias("cut"), F.when(cut, first_words).otherwise(F.col("row.text")).alias("text"))
+    out = {c: F.col(f"row.`{c}`") for c in docs.columns} | {"text": F.col("text")}
+    if "n_chars" in out:
+        out["n_chars"] = F.when(F.col("cut"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(out["n_chars"])
+    return m.select(*[v.alias(c) for c, v in out.items()])
