@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenrank.llm import linededup, mixing, ngram, packing, quality
-from lumenrank.llm.common import materialise, table
+from lumenrank.llm.common import materialise, row_digest, table
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -14,7 +14,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
     A null text is scored as an empty one; repeated rows stay or go together; an empty table stays empty.
     """
-    return quality.keep_documents(docs, table(spark, sf_dir, "labels")).select(*docs.columns)
+    return quality.keep_documents(docs, table(spark, sf_dir, "labels"))
 
 
 def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,11 +22,13 @@ def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
     Null texts stay null; rows equal in all columns count as one. ``n_chars``, where there is one, follows a changed text.
     """
-    kept = linededup.dedup_repeats(docs)
-    if "n_chars" in docs.columns:
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    kept = linededup.dedup_repeats(docs.select("doc_id", "text", F.struct(*others).alias("row")))
+    out = {c: F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns}
+    if "n_chars" in out:
         changed = (F.col("removed_chunks") > 0) | (F.col("removed_words") > 0)
-        kept = kept.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return kept.select(*docs.columns)
+        out["n_chars"] = F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(out["n_chars"])
+    return kept.select(*[v.alias(c) for c, v in out.items()])
 
 
 def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,25 +37,28 @@ def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     Rows are told apart by a key of their own, so repeated ids and rows without an id are rows like others;
     rows without an id come last. Texts without words are linked with nothing and stay.
     """
-    keyed = docs.withColumns({"_key": F.monotonically_increasing_id(), "_hash": F.xxhash64(*docs.columns)})
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("key"), row_digest(docs)[0].alias("hash"))
     keyed = materialise(keyed, "keyed-rows")  # the keys must be the same at every reading
-    found = ngram.jaccard_components(keyed.select(F.col("_key").alias("doc_id"), "text"), words=5, percent=80)
-    found = materialise(found.select(F.col("doc_id").alias("_key"), F.col("component_id").alias("_component")), "row-components")
-    shared = found.join(found.groupBy("_component").agg(F.count("*").alias("_n")).filter("_n > 1"), "_component").select("_key", "_component")
-    placed = shared.join(keyed.select("_key", "_hash", "doc_id"), "_key")
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "_hash", "_key")
-    stay = placed.groupBy("_component").agg(F.min(order).getField("_key").alias("_key"))
-    gone = shared.join(stay, "_key", "left_anti").select("_key")
-    return keyed.join(gone, "_key", "left_anti").select(*docs.columns)
+    found = ngram.jaccard_components(keyed.select(F.col("key").alias("doc_id"), F.col("row.text").alias("text")), words=5, percent=80)
+    found = materialise(found.select(F.col("doc_id").alias("key"), F.col("component_id").alias("component")), "row-components")
+    shared = found.join(found.groupBy("component").agg(F.count("*").alias("n")).filter("n > 1"), "component").select("key", "component")
+    placed = shared.join(keyed.select("key", "hash", "row.doc_id"), "key")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "hash", "key")
+    stay = placed.groupBy("component").agg(F.min(order).getField("key").alias("key"))
+    gone = shared.join(stay, "key", "left_anti").select("key")
+    return keyed.join(gone, "key", "left_anti").select("row.*")
 
 
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its source's budget takes it."""
+    """Each document as often as its source's budget takes it.
+
+    A null source is one of its own; null and empty texts have no words, so nothing of them is taken.
+    """
     return mixing.mixed_documents(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every piece's place in sequences of 2048 tokens."""
+    """Every piece's place in sequences of 2048 tokens; null and empty texts are their end token alone."""
     return packing.pack_documents(docs, end_id=0, capacity=2048)
 
 
