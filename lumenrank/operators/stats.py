@@ -24,7 +24,8 @@ def resampled(df: DataFrame, key: str, replicates: int, seed: int = 42) -> DataF
     """
     n = df.agg(F.count("*").alias("_n"))
     at = prefix_sums(df.withColumn("_one", F.lit(1)), key, {"_at": "_one"}).drop("_one")
-    slots = at.select(F.col("_at").alias("_slot")).crossJoin(F.broadcast(n)).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    tasks = 4 * df.sparkSession.sparkContext.defaultParallelism  # few rows make many draws
+    slots = at.select(F.col("_at").alias("_slot")).repartition(tasks).crossJoin(F.broadcast(n)).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
     draws = slots.select("b", "_slot", (hash_unit(F.lit(seed), F.col("b"), F.col("_slot")) % F.col("_n")).alias("_at"))
     return draws.join(at, "_at").drop("_at")
 
