@@ -105,9 +105,11 @@ def bundle(archive: str | Path, files: Iterable[str | Path], root: str | Path) -
     return manifest
 
 
-def markdown_table(df: DataFrame, order: list[str] | None = None, digits: int = 4) -> str:
-    """A report table. For result tables of a report's size."""
-    rows = (df.orderBy(*order) if order else df).collect()
+def markdown_table(df: DataFrame, order: list[str] | None = None, digits: int = 4, most: int = 10_000) -> str:
+    """A report table. A table of more than ``most`` rows is no report and an error."""
+    rows = (df.orderBy(*order) if order else df).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a report table of more than {most} rows")
     cell = lambda v: "" if v is None else f"{v:.{digits}f}" if isinstance(v, float) else str(v).replace("|", "\\|")
     lines = ["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
     return "\n".join([*lines, *("| " + " | ".join(map(cell, r)) + " |" for r in rows)]) + "\n"

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenrank.functions import scalar
-from lumenrank.operators import metrics, ml, ranking, stats
+from lumenrank.operators import governance, metrics, ml, ranking, stats
 from lumenrank.sources import readers
 from lumenrank.sources.scratch import scratch_folder
 
@@ -108,3 +108,9 @@ def test_scratch_folders_need_a_shared_place(spark, monkeypatch):
     assert scratch_folder(spark, "x") != scratch_folder(spark, "x") and conf.get("spark.master").startswith("local")
     with pytest.raises(RuntimeError):
         scratch_folder(Cluster, "x")
+
+
+def test_report_tables_are_of_a_reports_size(spark):
+    assert governance.markdown_table(spark.range(3), ["id"], most=3).splitlines()[2:] == ["| 0 |", "| 1 |", "| 2 |"]
+    with pytest.raises(ValueError):
+        governance.markdown_table(spark.range(4), most=3)
