@@ -400,25 +400,26 @@ def dedup_repeats(docs: DataFrame, *, min_words: int | None = 10, words: int | N
     rows = key.select("r1", "r2", F.col("d.doc_id").cast("long").alias("doc_id"), F.col("d.text").alias("text"))
     joined = key.join(repeats(rows, min_words=min_words, words=words), ["r1", "r2"], "left")
 
-    @F.arrow_udf("text string, n_lines long, removed_lines long, removed_chunks long, removed_words long")
+    @F.arrow_udf("text string, removed_lines long, removed_chunks long, removed_words long")
     def rebuilt(texts: pa.Array, gone: pa.Array) -> pa.Array:
-        counts = np.zeros((4, len(texts)), np.int64)
-        row = 0
-        for row, data, offsets in wordhash.blocks(texts):
-            ends = np.flatnonzero(data == 0x0A)
-            counts[0, row : row + len(offsets) - 1] = np.searchsorted(ends, offsets[1:]) - np.searchsorted(ends, offsets[:-1]) + (offsets[1:] > offsets[:-1])
-        changed, at = [], np.flatnonzero(gone.is_valid().to_numpy(zero_copy_only=False)).tolist()
+        counts, changed = np.zeros((3, len(texts)), np.int64), []
+        at = np.flatnonzero(gone.is_valid().to_numpy(zero_copy_only=False)).tolist()
         for k in at:
-            text, counts[1, k], counts[2, k], counts[3, k] = without(texts[k].as_py().encode(), gone[k].as_py(), min_words, words)
+            text, *counts[:, k] = without(texts[k].as_py().encode(), gone[k].as_py(), min_words, words)
             changed.append(text.decode())
         if at:
             mask = np.zeros(len(texts), bool)
             mask[at] = True
             texts = pa.compute.replace_with_mask(texts, pa.array(mask), pa.array(changed, texts.type))
-        return pa.StructArray.from_arrays([texts, *map(pa.array, counts)], ["text", "n_lines", "removed_lines", "removed_chunks", "removed_words"])
-
-    out = joined.select("d", rebuilt("d.text", "gone").alias("o"))
-    return out.select(*[F.col("o.text").alias("text") if c == "text" else F.col(f"d.`{c}`") for c in docs.columns], *[f"o.{c}" for c in added])
+        return pa.StructArray.from_arrays([texts, *map(pa.array, counts)], ["text", "removed_lines", "removed_chunks", "removed_words"])
+
+    text, changed = F.col("d.text"), F.col("gone").isNotNull()
+    size = F.octet_length(text)
+    n_lines = size - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + (size > 0).cast("int")
+    # only the texts that lose something go through Python
+    out = joined.select("d", changed.alias("changed"), F.coalesce(n_lines, F.lit(0)).cast("long").alias("n_lines"), rebuilt(F.when(changed, text), "gone").alias("o"))
+    kept = F.when(F.col("changed"), F.col("o.text")).otherwise(F.col("d.text"))
+    return out.select(*[kept.alias(c) if c == "text" else F.col(f"d.`{c}`") for c in docs.columns], *["n_lines" if c == "n_lines" else f"o.{c}" for c in added])
 
 
 def dedup_lines(docs: DataFrame, *, min_words: int = 10) -> DataFrame:
