@@ -859,3 +859,4 @@ def session_window(spark, sf_dir):
 
 
 import lumenrank.plans.exchange  # noqa: E402, F401  adds the queries of sources and sinks to this registry
+import lumenrank.plans.reports  # noqa: E402, F401
