@@ -103,15 +103,28 @@ def row_arg_max(columns: Sequence[str]) -> Column:
     return F.array_max(F.array_compact(F.array(*cells)))["name"]
 
 
+def _bounded(x: Column, low: float, high: float) -> Column:
+    """x within low and high; null and NaN stay, which least and greatest would turn into a bound."""
+    return F.when(x < low, low).when(~F.isnan(x) & (x > high), high).otherwise(x)
+
+
 def sigmoid(x: Column) -> Column:
-    return 1 / (1 + F.exp(-F.greatest(F.lit(-500.0), F.least(F.lit(500.0), x))))
+    return 1 / (1 + F.exp(-_bounded(x, -500.0, 500.0)))
 
 
 def logit(p: Column, eps: float = 1e-6) -> Column:
-    q = F.greatest(F.lit(eps), F.least(F.lit(1 - eps), p))
+    """Log odds of a share held within eps and 1 - eps, so always finite; ``log_odds`` holds nothing back."""
+    q = _bounded(p, eps, 1 - eps)
     return F.ln(q / (1 - q))
 
 
+def log_odds(p: Column) -> Column:
+    """Log odds in IEEE arithmetic: minus infinity at 0, infinity at 1, NaN outside and for NaN, null for null."""
+    inside = F.when((p > 0) & (p < 1), p)  # keeps the division and the logarithm defined
+    odd = F.when(p == 0, float("-inf")).when(p == 1, float("inf")).when(p.isNotNull(), float("nan"))
+    return F.coalesce(F.ln(inside / (1 - inside)), odd)
+
+
 def standardise(x: Column, mean: float, scale: float) -> Column:
     return (x - mean) / (scale + 1e-10)
 

@@ -539,7 +539,7 @@ def chain_edges(spark, sf_dir):
 @query("SELECT event_id, round(1 / (1 + exp(-(value - 250) / 100)), 10) AS sigmoid, round(ln((value / 500) / (1 - value / 500)), 10) AS logit, round(1 - value / 500 * 100 / 100, 10) AS inverted FROM events")
 def numeric_functions(spark, sf_dir):
     v = F.col("value")
-    return t(spark, sf_dir, "events").select("event_id", F.round(scalar.sigmoid((v - 250) / 100), 10).alias("sigmoid"), F.round(scalar.logit(v / 500), 10).alias("logit"), F.round(scalar.inverted_percent(v / 500 * 100), 10).alias("inverted"))
+    return t(spark, sf_dir, "events").select("event_id", F.round(scalar.sigmoid((v - 250) / 100), 10).alias("sigmoid"), F.round(scalar.log_odds(v / 500), 10).alias("logit"), F.round(scalar.inverted_percent(v / 500 * 100), 10).alias("inverted"))
 
 
 @query("SELECT n_nationkey, sha256(concat_ws('|', CAST(n_nationkey AS VARCHAR), n_name, CAST(n_regionkey AS VARCHAR))) AS row_hash FROM nation")
