@@ -33,3 +33,43 @@ def test_bounded_logit_and_sigmoid_keep_null_and_nan(spark):
     rows = df.select(scalar.logit(F.col("p")).alias("l"), scalar.sigmoid(F.col("p") * 1e6).alias("s")).collect()
     assert tuple(rows[0]) == (None, None) and all(map(math.isnan, rows[1]))
     assert [r.l for r in rows[2:]] == pytest.approx([-13.815510, 13.815510]) and [r.s for r in rows[2:]] == [0.5, 1.0]
+
+
+TEXTS = ["straße zwei", "STRASSE ZWEI", "eine Straße zwei und", "STRASSE", "ﬁn d'été", "FIN", "ᾳ", "ᾼ", "ǆ", "плод", None, "", "q"]
+
+
+@pytest.mark.parametrize(
+    "texts,known",
+    [
+        (TEXTS, ["STRASSE ZWEI", "strasse", "fin", "αι", "ПЛОД"]),
+        (TEXTS, ["STRASSE ZWEI", "strasse", None]),
+        (TEXTS, [None]),
+        (TEXTS, [""]),
+        (TEXTS, []),
+        ([], ["a"]),
+        ([f"x{i}" for i in range(199_999)] + ["a b"] * 3, ["x", "A"]),
+    ],
+)
+def test_overlap_bands_on_odd_texts(spark, tmp_path, texts, known):
+    got, want = both(spark, tmp_path, "overlap_bands", documents=("text string", [(x,) for x in texts]), benchmark=("text string", [(x,) for x in known]))
+    assert got == want
+
+
+def test_shares_just_above_a_bound(spark, tmp_path):
+    """50.00002 % and 30.000005 % are above the bounds, though they round to them."""
+    n = 2_000_003
+    for name, k, want in (("a", 1_000_002, (50.0, "contaminated")), ("b", 600_001, (30.0, "contaminated_cap"))):
+        folder = tmp_path / name
+        folder.mkdir()
+        spark.range(n).select(F.concat(F.when(F.col("id") < k, "known").otherwise(""), F.col("id").cast("string")).alias("text")).write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([("known",)], "text string").write.parquet(f"{folder}/benchmark.parquet")
+        row = catalog.overlap_bands(spark, str(folder)).first()
+        assert (row.n_substring, row.overlap_pct, row.status) == (k, *want)
+
+
+def test_simple_upper_of_every_letter(spark):
+    letters = [chr(c) for c in range(1, 0x20000) if not 0xD800 <= c <= 0xDFFF]
+    got = spark.createDataFrame([(c,) for c in letters], "c string").select("c", scalar.simple_upper(F.col("c")).alias("u")).collect()
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t AS SELECT chr(i::INT) AS c FROM range(1, 131072) t(i) WHERE i NOT BETWEEN 55296 AND 57343")
+    assert {r.c: r.u for r in got} == dict(con.execute("SELECT c, upper(c) FROM t").fetchall())
