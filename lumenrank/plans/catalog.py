@@ -691,16 +691,14 @@ _ISSR = "SELECT b, avg(CASE WHEN rn <= k THEN label END) AS issr, avg(label) AS
 
 
 def _boot(spark, sf_dir, replicates):
-    r = stats.resampled(labelled(spark, sf_dir).drop("source"), "doc_id", replicates).withColumnRenamed("_slot", "slot")
-    m = metrics.ranked_metrics(r, ["b"], "score", "label", "slot", spread=False)
-    return m.select("b", F.col("issr_10").alias("issr"), (F.col("n_positive") / F.col("n")).alias("rate"))
+    return stats.resampled_top(labelled(spark, sf_dir), "doc_id", "score", "label", replicates).withColumnRenamed("share", "issr")
 
 
 @query(f"""WITH {_boot_sql(2000)}, m AS ({_ISSR}), d AS (SELECT issr - rate AS d FROM m)
   SELECT count(*) AS n_boot, round(avg(d), 8) AS mean, round(quantile_cont(d, 0.025), 8) AS ci_low, round(quantile_cont(d, 0.975), 8) AS ci_high,
          least(1.0, 2 * least(avg(CAST(d <= 0 AS INT)), avg(CAST(d >= 0 AS INT)))) AS p_value FROM d""")
 def bootstrap_diff_ci(spark, sf_dir):
-    return _rounded(stats.interval(_boot(spark, sf_dir, 2000).withColumn("d", F.col("issr") - F.col("rate")), "d"))
+    return _rounded(stats.interval(_boot(spark, sf_dir, 2000).withColumn("d", F.col("issr") - F.col("rate")), "d", every=True))
 
 
 @query(f"""WITH {_boot_sql(5000)}, m AS ({_ISSR}), d AS (SELECT issr / rate AS d FROM m WHERE rate > 0)

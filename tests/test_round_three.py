@@ -1,12 +1,16 @@
-"""Queries against their SQL on odd tables: values out of bounds, nulls, special letters."""
+"""Queries against their SQL on odd tables: values out of bounds, nulls, special letters, ties."""
 
+import hashlib
 import math
+import random
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lumenrank.functions import scalar
+from lumenrank.functions import digest, scalar
+from lumenrank.operators import stats
 from lumenrank.plans import catalog
 
 
@@ -73,3 +77,32 @@ def test_simple_upper_of_every_letter(spark):
     con = duckdb.connect()
     con.execute("CREATE TABLE t AS SELECT chr(i::INT) AS c FROM range(1, 131072) t(i) WHERE i NOT BETWEEN 55296 AND 57343")
     assert {r.c: r.u for r in got} == dict(con.execute("SELECT c, upper(c) FROM t").fetchall())
+
+
+def _ranked_items(n):
+    rng = random.Random(3)
+    return [(i, rng.choice(["de", "en"]), "s", rng.choice([None, *range(1, 9)])) for i in range(n)], [(i, rng.choice([0, 1, 1, None])) for i in range(n)]
+
+
+@pytest.mark.parametrize("n", [0, 1, 7, 150])
+def test_bootstrap_diff_with_gaps_and_ties(spark, tmp_path, n):
+    d, y = _ranked_items(n)
+    got, want = both(spark, tmp_path, "bootstrap_diff_ci", documents=("doc_id long, lang string, source string, n_chars int", d), labels=("doc_id long, quality int", y))
+    assert got == want
+
+
+def test_replicates_in_numpy_are_those_in_rows(spark):
+    rows = [(i, None if i % 11 == 0 else float(i % 7), None if i % 13 == 0 else i % 3 % 2) for i in range(230)]
+    df = spark.createDataFrame(rows, "k long, s double, y int").repartition(5)
+    for percent in (10, 25):
+        a = {r.b: (r.share, r.rate) for r in stats.resampled_top(df, "k", "s", "y", 12, percent).collect()}
+        b = {r.b: (r.share, r.rate) for r in stats.resampled_top(df, "k", "s", "y", 12, percent, most_rows=0).collect()}
+        assert len(a) == 12 and a.keys() == b.keys()
+        for k in a:
+            assert a[k] == pytest.approx(b[k])
+
+
+def test_numbered_digests_are_md5():
+    for prefix, n in ((b"42|0|", 12_345), (b"42|4999|", 100_100), (b"x" * 36, 1_001), (b"", 11)):
+        got = np.concatenate(list(digest.numbered(prefix, n)))
+        assert got.tolist() == [int(hashlib.md5(prefix + str(i).encode()).hexdigest()[:8], 16) for i in range(n)]
