@@ -704,8 +704,8 @@ def bootstrap_diff_ci(spark, sf_dir):
 @query(f"""WITH {_boot_sql(5000)}, m AS ({_ISSR}), d AS (SELECT issr / rate AS d FROM m WHERE rate > 0)
   SELECT count(*) AS n_boot, round(avg(d), 8) AS mean, round(quantile_cont(d, 0.025), 8) AS ci_low, round(quantile_cont(d, 0.975), 8) AS ci_high FROM d""")
 def bootstrap_ratio_ci(spark, sf_dir):
-    m = _boot(spark, sf_dir, 5000)
-    return _rounded(stats.interval(m.withColumn("d", F.when(F.col("rate") > 0, F.col("issr") / F.col("rate"))), "d").drop("p_value"))
+    m = _boot(spark, sf_dir, 5000).filter("rate > 0")
+    return _rounded(stats.interval(m.withColumn("d", F.col("issr") / F.col("rate")), "d", every=True).drop("p_value"))
 
 
 _P = f"p AS (SELECT event_type, user_id, CAST(({HASH.format('concat_ws(chr(124), event_type, user_id)')} + 1) / 4294967297.0 AS DOUBLE) AS p FROM (SELECT DISTINCT event_type, user_id FROM events))"

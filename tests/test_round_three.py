@@ -91,6 +91,13 @@ def test_bootstrap_diff_with_gaps_and_ties(spark, tmp_path, n):
     assert got == want
 
 
+def test_bootstrap_ratio_with_gaps_and_no_positives(spark, tmp_path):
+    """Of 5 rows many replicates have no known label in the top, or no positive at all."""
+    d = [(i, "de", "s", [9, 9, None, 3, 2][i]) for i in range(5)]
+    got, want = both(spark, tmp_path, "bootstrap_ratio_ci", documents=("doc_id long, lang string, source string, n_chars int", d), labels=("doc_id long, quality int", list(enumerate([None, 1, 0, 0, 1]))))
+    assert got == want
+
+
 def test_replicates_in_numpy_are_those_in_rows(spark):
     rows = [(i, None if i % 11 == 0 else float(i % 7), None if i % 13 == 0 else i % 3 % 2) for i in range(230)]
     df = spark.createDataFrame(rows, "k long, s double, y int").repartition(5)
