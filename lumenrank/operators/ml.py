@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from lumenrank.functions.scalar import hash_unit, logit
 from lumenrank.operators.ranking import prefix_sums
+from lumenrank.sources.scratch import stored
 
 
 def stratified_folds(df: DataFrame, key: str, strata: Sequence[str], k: int = 5, seed: int = 42) -> DataFrame:
@@ -48,11 +49,14 @@ def score(model: PipelineModel, df: DataFrame, name: str = "score") -> DataFrame
 
 
 def out_of_fold(df: DataFrame, pipeline: Pipeline, method: str, k: int = 5) -> DataFrame:
-    """Every row scored by the model of the folds that it is not in, tagged with the method."""
+    """Every row scored by the model of the folds that it is not in, tagged with the method.
+
+    Each fold's rows are stored as soon as they are scored: no model is kept, and none is asked twice.
+    """
     out = None
     for f in range(k):
         model = pipeline.fit(df.filter(F.col("fold") != f))
-        part = score(model, df.filter(F.col("fold") == f)).withColumn("method", F.lit(method))
+        part = stored(score(model, df.filter(F.col("fold") == f)).withColumn("method", F.lit(method)), "fold")
         out = part if out is None else out.unionByName(part)
     return out
 

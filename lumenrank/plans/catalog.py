@@ -16,6 +16,7 @@ from lumenrank.functions import scalar, sequence
 from lumenrank.operators import aggregates, curation, governance, metrics, ml, ranking, relational, stats
 from lumenrank.operators.backends import HashBackend
 from lumenrank.plans import proteome
+from lumenrank.sources.scratch import stored
 from lumenrank.streaming import windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -788,10 +789,20 @@ def proteome_pipeline(spark, sf_dir):
     return proteome.ranked(bound, "presentation_score").select("peptide", "allele", F.round("presentation_score", 10).alias("presentation_score"), "protein_id", "source_protein_count", "rank")
 
 
+#: Rows of a partition that models are fitted on: each holds the statistics of all nodes, so few are better.
+_FIT_ROWS = 1 << 15
+
+
 def _model_rows(spark, sf_dir):
-    d = t(spark, sf_dir, "documents").select("doc_id", "lang", F.length("text").cast("double").alias("n"), F.length(F.regexp_replace("text", "[^ ]", "")).cast("double").alias("spaces"), F.length(F.regexp_replace("text", "[^|%#*&$!]", "")).cast("double").alias("symbols"))
+    """Features, label and fold of the labelled documents. Fits read them many times, the texts once."""
+    rest = lambda c: F.length("text") - F.length(c)
+    spaces, symbols = rest(F.replace(F.col("text"), F.lit(" "), F.lit(""))), rest(F.regexp_replace("text", "[|%#*&$!]", ""))
+    d = t(spark, sf_dir, "documents").select("doc_id", "lang", F.length("text").cast("double").alias("n"), spaces.cast("double").alias("spaces"), symbols.cast("double").alias("symbols"))
     d = d.select("doc_id", "lang", F.log1p("n").alias("size"), (F.col("spaces") / F.greatest(F.lit(1.0), "n")).alias("space_rate"), (F.col("symbols") / F.greatest(F.lit(1.0), "n")).alias("symbol_rate"))
-    return ml.stratified_folds(d.join(t(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label")), "doc_id"), "doc_id", ["label"])
+    labels = t(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    rows = ml.stratified_folds(d.join(labels, "doc_id"), "doc_id", ["label"])
+    parts = max(1, min(spark.sparkContext.defaultParallelism, labels.count() // _FIT_ROWS))
+    return stored(rows.repartition(parts, "doc_id").sortWithinPartitions("doc_id"), "model_rows")
 
 
 _INPUTS = ("size", "space_rate", "symbol_rate")

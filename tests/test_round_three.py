@@ -113,3 +113,21 @@ def test_numbered_digests_are_md5():
     for prefix, n in ((b"42|0|", 12_345), (b"42|4999|", 100_100), (b"x" * 36, 1_001), (b"", 11)):
         got = np.concatenate(list(digest.numbered(prefix, n)))
         assert got.tolist() == [int(hashlib.md5(prefix + str(i).encode()).hexdigest()[:8], 16) for i in range(n)]
+
+
+def test_models_read_the_texts_once(spark, tmp_path, monkeypatch):
+    """Fits and scores read stored features; these are what the patterns say, for odd texts too."""
+    texts = ["", " ", "a b\n c", "|%#*&$!", "é 😀 | ! x", None, *(f"{'w ' * (i % 9)}{'|' * (i % 4)}" for i in range(54))]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("lang", F.lit("de")).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = catalog._model_rows(spark, str(tmp_path))
+    assert rows.inputFiles() and not any("documents.parquet" in f for f in rows.inputFiles())
+    for r in rows.collect():
+        text = texts[r.doc_id]
+        if text is None:
+            assert (r["size"], r.space_rate, r.symbol_rate) == (None, None, None)
+        else:
+            n = max(1, len(text))
+            assert (r.space_rate, r.symbol_rate) == (text.count(" ") / n, sum(c in "|%#*&$!" for c in text) / n) and r["size"] == pytest.approx(math.log1p(len(text)))
+    scored = catalog.ml.ablation(rows.dropna(), {"size": ("size",), "all": catalog._INPUTS}, lambda features: catalog.ml.forest(features, trees=2))
+    assert scored.count() == 2 * 59 and not any("model_rows" in f or "documents" in f for f in scored.inputFiles())
